@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fourfold.llm.common import table
 from fourfold.llm.encoders import public_path
@@ -25,6 +26,67 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_path(VOCABULARY))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def levels():
+    """The tree of the mixture over `documents`: domains are made of the sources' numbers."""
+    number = F.regexp_extract("source", r"([0-9]+)$", 1).cast("int")
+    domain = F.when(number == 0, "bulk").when(number % 2 == 0, "reference").when(number % 2 == 1, "forum").otherwise("other")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+#: Target weights of domains and languages; sources of a language have equal ones.
+DOMAINS = {"bulk": 2.0, "reference": 5.0, "forum": 3.0}
+LANGUAGES = {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 2.0}
+
+
+def weight(path: tuple[str, ...]) -> float:
+    return DOMAINS.get(path[0], 1.0) if len(path) == 1 else LANGUAGES.get(path[1], 1.0) if len(path) == 2 else 1.0
+
+
+def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), levels(), weight, public_path(VOCABULARY), share=0.8, epochs=3)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.chat_format import digests, format_conversations
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(*more.columns).union(more)
+    return digests(format_conversations(rows, public_path("byte_bpe_50k.json")))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.language_id import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fourfold.llm.url_filter import judged
+
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
