@@ -22,6 +22,8 @@ BLOCK_BYTES = 4 << 20
 #: Distinct runs that a worker remembers.
 REMEMBERED = 1_000_000
 MATCH, OTHER, GAP = 2, -1, -1
+#: Words that an alignment must be worth at least, all of them for a shorter item: a few common words in a row are chance.
+WORDS = 8
 #: Cells of one alignment table.
 CELLS = 1 << 20
 
@@ -180,7 +182,8 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndar
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, window: int = 4, rare: float = 0.001, least: float = 0.5, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """Per row of `docs` and test item whose alignment scores `least` or more: doc_id, item_id, score, end_word.
+    """Per row of `docs` and test item whose alignment scores `least` or more, and is worth WORDS words or the whole item:
+    doc_id, item_id, score, end_word.
 
     The score is the best local alignment's (2 a matching word, -1 a changed, inserted or dropped one) over that of the
     whole item; end_word counts the document's words, from 0. Case and punctuation don't count. Whole texts are searched.
@@ -253,8 +256,9 @@ def scored(block: Block, documents: list[np.ndarray], spots: list[tuple[int, int
             regions.append(documents[d][first : (stretch + 2) * size + pad])
             firsts.append(first)
         for (d, item, _), score, end, first in zip(some, *(x.tolist() for x in aligned(items, regions)), firsts):
-            share = score / (MATCH * len(block.items[item]))
-            if share >= least and share > best.get((d, item), (0, 0))[0]:
+            size = len(block.items[item])
+            share = score / (MATCH * size)
+            if share >= least and score >= MATCH * min(size, WORDS) and share > best.get((d, item), (0, 0))[0]:
                 best[d, item] = share, first + end
     return best
 

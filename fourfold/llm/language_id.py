@@ -87,13 +87,13 @@ class Model:
     writes: np.ndarray  # scripts x languages: is it a candidate?
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each word, 0 for the likeliest language, and its letters."""
+        """Scores of each word, 0 for the likeliest language, and its letters: all, and 0 if no language writes them."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        size = np.zeros(len(words), np.int32)
+        size = np.zeros((len(words), 2), np.int32)
         at, kept = [], []
         for k, run in enumerate(words):
             word = letters_of(run)
-            size[k] = len(word)
+            size[k, 0] = len(word)
             if word:
                 at.append(k)
                 kept.append(word)
@@ -109,6 +109,7 @@ class Model:
         best = np.where(may, sums, -np.inf).max(axis=1, keepdims=True)
         narrowed = np.where(may, np.maximum(sums - best, -CLIP), -CLIP)
         out[at] = np.where(may.any(axis=1)[:, None], narrowed, 0)
+        size[at, 1] = np.where(may.any(axis=1), size[at, 0], 0)
         return out, size
 
 
@@ -193,8 +194,9 @@ class Scorer:
 def constant(total: np.ndarray, scores: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Which texts are best labelled with one language alone, the one of the largest total.
 
-    A stretch of another language costs a switch at least. If no stretch of any other language gains more than that over
-    the one, no labelling beats it. `owner` has the text of each word, `first` where texts begin.
+    A labelling by m stretches of other languages has m switches if the one language is in it, else m - 1, and m is 2 at
+    least, as that language has the largest total. If no stretch gains more than half a switch over it, none beats it.
+    `owner` has the text of each word, `first` where texts begin.
     """
     top = total.argmax(axis=1)
     fine = np.ones(len(total), bool)
@@ -203,7 +205,7 @@ def constant(total: np.ndarray, scores: np.ndarray, owner: np.ndarray, first: np
         gain = np.cumsum(scores[:, k].astype(np.float64) - scores[np.arange(len(scores)), top[owner]])
         before = np.concatenate([[0.0], gain[:-1]])
         low = np.minimum.accumulate(before - apart) + apart
-        fine &= np.maximum.reduceat(gain - low, first) <= SWITCH
+        fine &= np.maximum.reduceat(gain - low, first) <= SWITCH / 2
     return fine
 
 
@@ -244,10 +246,11 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def labels(scorer: Scorer, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: a language per run between white space, the runs' letters, and the runs' scores' numbers."""
+    """Of each text: a language per run between white space, the runs' letters (all, and those that some language writes),
+    and the runs' scores' numbers."""
     runs = scorer(texts)
     full = [k for k, (at, _) in enumerate(runs) if len(at)]
-    out = [(np.empty(0, np.int16), np.empty(0, np.int32), np.empty(0, np.int64))] * len(texts)
+    out = [(np.empty(0, np.int16), np.empty((0, 2), np.int32), np.empty(0, np.int64))] * len(texts)
     if not full:
         return out
     sizes = np.array([len(runs[k][0]) for k in full])
@@ -268,22 +271,24 @@ def labels(scorer: Scorer, texts: list[str]) -> list[tuple[np.ndarray, np.ndarra
 def judged(scorer: Scorer, texts: list[str]) -> list[tuple[str, float, list]]:
     """Of each text: the language with most letters, a score, and the spans (first run, run after the last, language).
 
-    The score is that language's share of the letters, times how sure its words are of it against the runner-up.
+    The score is the share of the letters that this language has in scripts of some language, times how sure its words are
+    of it against the runner-up.
     """
     languages, out = scorer.model.languages, []
     for label, size, at in labels(scorer, texts):
-        letters = int(size.sum())
+        letters = int(size[:, 0].sum())
         if not letters:
             out.append((UNKNOWN, 0.0, []))
             continue
-        by = np.bincount(label, size, len(languages))
+        by = np.bincount(label, size[:, 0], len(languages))
         top = int(by.argmax())
+        written = int(size[label == top, 1].sum())
         sums = scorer.scores[at[label == top]].sum(axis=0, dtype=np.float64)
         rival = np.delete(sums, top).max() if len(languages) > 1 else -math.inf
         sure = 1 - math.exp(min(0.0, rival - sums[top]) / 4)
         cuts = [0, *(np.flatnonzero(np.diff(label)) + 1).tolist(), len(label)]
         spans = [(a, b, languages[label[a]]) for a, b in zip(cuts, cuts[1:])]
-        out.append((languages[top], float(by[top] / letters * sure), spans))
+        out.append((languages[top], float(written / letters * sure), spans))
     return out
 
 

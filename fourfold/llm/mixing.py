@@ -166,8 +166,9 @@ def mix(docs: DataFrame, levels: dict[str, Column], weight: Callable[[tuple[str,
     counted = checkpointed(token_table(plain, vocabulary, names))
     plans = mixture(counted, names, weight, share, epochs, seed)
     if whole_rows:
-        rows = docs.withColumns({n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in own.items()})
-        rows = rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), *names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST + 1)).alias("key"))
+        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST + 1)).alias("key")
+        leaf = (F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in own.items())
+        rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *leaf, key)
         taken = chosen(rows, names, plans, seed)
         return taken.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
     taken = chosen(counted, names, plans, seed)
