@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fourfold.llm.common import mapped
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 ASSISTANT = "assistant"
 #: Characters after which a part of a conversation ends, with a turn.
@@ -106,7 +108,7 @@ def format_conversations(rows: DataFrame, path: str) -> DataFrame:
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
     read = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *text)
     dealt = read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.mapInArrow(parts, "conv_id long, part int, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>")
+    return mapped(dealt, parts, "conv_id long, part int, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield closed()
 
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return formatted.mapInArrow(read, out)
+    return mapped(formatted, read, out)
 
 
 def runs(starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 
@@ -10,8 +11,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker holds as Python strings at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch, and of the text that a Python worker holds as Python strings at once.
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,31 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
     yield batch.slice(first)
 
 
+def mapped(df: DataFrame, function, schema, encodes: bool = False) -> DataFrame:
+    """mapInArrow with batches of BATCH_BYTES, in workers that give back what they no longer need.
+
+    Workers outlive their tasks. Only a function that `encodes` finds the encoder that its worker has kept; others start
+    without it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def run(batches):
+        if not encodes:
+            from fourfold.llm import encoders
+
+            encoders.forget()
+        yield from function(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system where the C library can."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_of(column: str = "text"):
     """The column as text in which null is empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

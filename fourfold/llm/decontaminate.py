@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import slices, text_of
+from fourfold.llm.common import mapped, slices, text_of
 
 #: Text bytes of the items that a block, and so a broadcast, holds; a longer item stands alone.
 BLOCK_BYTES = 4 << 20
 #: Distinct runs that a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 MATCH, OTHER, GAP = 2, -1, -1
 #: Words that an alignment must be worth at least, all of them for a shorter item: a few common words in a row are chance.
 WORDS = 8
@@ -130,7 +130,7 @@ def counted(docs: DataFrame, block: Block) -> tuple[dict[tuple[int, int], int],
         rows = [(0, 0, total), *((n, gram, count) for (n, gram), count in seen.items())]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["n", "gram", "docs"])
 
-    found = docs.mapInArrow(count, "n long, gram long, docs long").groupBy("n", "gram").agg(F.sum("docs").alias("docs")).collect()
+    found = mapped(docs, count, "n long, gram long, docs long").groupBy("n", "gram").agg(F.sum("docs").alias("docs")).collect()
     by = {(n, gram): count for n, gram, count in found}  # the block's own n-grams at most
     return by, by.pop((0, 0), 0)
 
@@ -224,7 +224,7 @@ def matches(read: DataFrame, block: Block, by, documents: int, window: int, rare
                     names=["doc_id", "item_id", "score", "end_word"],
                 )
 
-    return read.mapInArrow(search, out)
+    return mapped(read, search, out)
 
 
 def candidates(block: Block, known: dict, d: int, words: np.ndarray):

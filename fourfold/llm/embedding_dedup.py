@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import checkpointed
+from fourfold.llm.common import checkpointed, mapped
 from fourfold.llm.components import components
 
 #: Distinct vectors that a cell should hold, and that one task compares at most; larger cells are dealt out in pairs of blocks.
@@ -159,7 +159,7 @@ def vectors_of(frame: DataFrame, vector: str, vec_id: str) -> tuple[DataFrame, s
 
     cast = "array<float>" if kind == "<f4" else "array<double>"
     read = frame.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(cast).alias("vec"))
-    return read.mapInArrow(checked, "vec_id long, data binary"), kind
+    return mapped(read, checked, "vec_id long, data binary"), kind
 
 
 def near_vectors(frame: DataFrame, least: float = 0.95, missed: float = 5e-4, seed: int = 6, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:
@@ -200,7 +200,7 @@ def near_vectors(frame: DataFrame, least: float = 0.95, missed: float = 5e-4, se
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "links", "root"])
 
     dealt = rows.select("table", "cell", "block", "blocks", "own", "id", "size", "data").repartition("table", "cell", "block")
-    found = dealt.sortWithinPartitions("table", "cell", "block").mapInArrow(search, "id long, links long, root long")
+    found = mapped(dealt.sortWithinPartitions("table", "cell", "block"), search, "id long, links long, root long")
     found = checkpointed(found)
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     grouped = components(found, "id", "root").select(F.col("node").alias("id"), "component")
@@ -231,7 +231,7 @@ def cell_codes(classes: DataFrame, kind: str, bits: int, count: int, seed: int)
                         names=["table", "cell", "id", "size", "data"],
                     )
 
-    return classes.select("data", "id", "size").mapInArrow(coded, "table int, cell long, id long, size long, data binary")
+    return mapped(classes.select("data", "id", "size"), coded, "table int, cell long, id long, size long, data binary")
 
 
 def groups(batches, keys: int):

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 
 #: Distinct runs that a worker remembers before it starts anew, at about 150 bytes each.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Letters that normalization leaves composed and lower-cases one to one, then at most one full stop or comma.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
 
@@ -162,6 +162,10 @@ def encoder(path: str) -> RunEncoder | WholeEncoder:
     return _kept[path]
 
 
+def forget() -> None:
+    _kept.clear()
+
+
 def load(path: str) -> RunEncoder | WholeEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import slices, text_of
+from fourfold.llm.common import mapped, slices, text_of
 
 #: First code points of scripts' ranges, in order; a range ends where the next begins.
 SCRIPTS = (
@@ -44,7 +44,8 @@ ROWS = 3000
 USES = 0.01
 #: Nats: the most that a word speaks against a language, its weight, and the price of a switch.
 CLIP, WEIGHT, SWITCH = 6.0, 0.5, 8.0
-REMEMBERED = 600_000
+#: Distinct runs that a worker remembers, and words that it scores at once.
+REMEMBERED, AT_ONCE = 400_000, 40_000
 UNKNOWN = "und"
 
 
@@ -154,7 +155,7 @@ def learn(rows: DataFrame) -> Model | None:
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(both[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    summed = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    summed = mapped(drawn, count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = summed.toArrow()
     languages = sorted(held)
     at = np.array([languages.index(x) for x in found.column("lang").to_pylist()], np.int64)
@@ -186,8 +187,9 @@ class Scorer:
                     fresh.append(runs[k])
             out.append(at)
         if fresh:
-            more, sizes = self.model.of_words(fresh)
-            self.scores, self.sizes = np.concatenate([self.scores, more]), np.concatenate([self.sizes, sizes])
+            found = [self.model.of_words(fresh[k : k + AT_ONCE]) for k in range(0, len(fresh), AT_ONCE)]
+            self.scores = np.concatenate([self.scores, *(x for x, _ in found)])
+            self.sizes = np.concatenate([self.sizes, *(x for _, x in found)])
         return [(at, self.sizes[at]) for at in out]
 
 
@@ -327,7 +329,7 @@ def languages(docs: DataFrame, model: Model | None = None, with_spans: bool = Fa
 
     out = "doc_id long, lang_pred string, score double" + ", spans array<struct<first:int,after:int,lang:string>>" * with_spans
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = read.mapInArrow(predict, out)
+    found = mapped(read, predict, out)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *found.columns[1:])
 
 
@@ -345,4 +347,4 @@ def with_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
                 found = judged(scorer, texts) if scorer else [(UNKNOWN, 0.0, [])] * len(texts)
                 yield part.filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return mapped(docs, keep, schema)

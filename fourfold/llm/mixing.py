@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fourfold.llm.common import checkpointed, slices, text_of
+from fourfold.llm.common import checkpointed, mapped, slices, text_of
 from fourfold.llm.encoders import encoder
 
 #: Leaves at most: the tree is solved on the driver and sent to every task.
@@ -186,4 +186,4 @@ def token_table(plain: DataFrame, vocabulary: str, names: list[str]) -> DataFram
 
     read = plain.select(F.col("doc_id").cast("long").alias("doc_id"), "key", *names, text_of().alias("text"))
     fields = "".join(f"{n} string, " for n in names)
-    return read.mapInArrow(lengths, f"doc_id long, key long, {fields}n_tokens long")
+    return mapped(read, lengths, f"doc_id long, key long, {fields}n_tokens long", encodes=True)

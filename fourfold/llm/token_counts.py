@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import slices, text_of
+from fourfold.llm.common import mapped, slices, text_of
 from fourfold.llm.encoders import encoder
 
 OUT = "doc_id long, n_bytes long, n_tokens long"
@@ -31,4 +31,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
                 )
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return read.mapInArrow(lengths, OUT).withColumn("over_limit", F.col("n_tokens") > limit)
+    return mapped(read, lengths, OUT, encodes=True).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fourfold.llm import packing
-from fourfold.llm.common import scratch_path, slices, text_of
+from fourfold.llm.common import mapped, scratch_path, slices, text_of
 from fourfold.llm.encoders import encoder
 
 MAGIC = 0x31474553
@@ -55,9 +55,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, out: str, end_id: int =
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(packing.encode(ended), pa.binary())], names=["file", "doc_id", "n_tokens", "ids"])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    encoded = read.mapInArrow(pack, "file int, doc_id long, n_tokens long, ids binary")
+    encoded = mapped(read, pack, "file int, doc_id long, n_tokens long, ids binary", encodes=True)
     dealt = encoded.repartitionById(len(cuts) + 1, "file").sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "ids")
-    dealt.mapInArrow(segments, "file int, segment int, start long, n_tokens long, data binary").write.parquet(out)
+    mapped(dealt, segments, "file int, segment int, start long, n_tokens long, data binary").write.parquet(out)
 
 
 def segments(batches):
@@ -133,7 +133,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    documents = stored.select("file", "start", "data").mapInArrow(unpack, out)
+    documents = mapped(stored.select("file", "start", "data"), unpack, out)
     more = ["ids"] if with_ids else []
     return documents.join(files, "file").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *more)
 

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import slices, text_of
+from fourfold.llm.common import mapped, slices, text_of
 
 #: Labelled rows of each kind that the model is fitted on: about so many, chosen by a seeded hash.
 TOXIC_ROWS, ORDINARY_ROWS = 4000, 12_000
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 minima = [sketch(words_of(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(minima, pa.list_(pa.int64()))], names=["doc_id", "toxic", "minima"])
 
-    chosen = unlike(rows.mapInArrow(sketches, "doc_id long, toxic int, minima array<long>").collect())
+    chosen = unlike(mapped(rows, sketches, "doc_id long, toxic int, minima array<long>").collect())
     toxic = sum(t for t, cal in chosen.values() if not cal)
     ordinary = sum(1 for t, cal in chosen.values() if not t and not cal)
     if not toxic or not ordinary:
@@ -180,7 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 counts.setdefault(word, [0, 0])[t] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))], names=["word", "ordinary", "toxic"])
 
-    found = rows.mapInArrow(frequencies, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    found = mapped(rows, frequencies, "word string, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     marks = {kind: marking(found, kind, {"toxic": toxic, "ordinary": ordinary}) for kind in ("toxic", "ordinary")}
 
     def coded(batches):
@@ -191,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
                 out += [(hash_of(f"{i} {k}") >> 1, b"".join(codes[w] for w in words[k : k + 32])) for k in range(0, len(words), 128)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["draw", "window"])
 
-    windows = rows.mapInArrow(coded, "draw long, window binary").orderBy("draw", "window").limit(SAMPLES).collect()
+    windows = mapped(rows, coded, "draw long, window binary").orderBy("draw", "window").limit(SAMPLES).collect()
     codes = Codes()
     base = trained([bytes(r["window"]) for r in windows], SHARED)
     ends = [b"".join(codes[w] for w in marks[kind]) for kind in ("toxic", "ordinary")]
@@ -205,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         found = by([text for _, text, _ in held])
         yield pa.RecordBatch.from_arrays([pa.array([t for *_, t in held], pa.int32()), pa.array(found, pa.float64())], names=["toxic", "gain"])
 
-    fitted = rows.mapInArrow(gains, "toxic int, gain double").collect()
+    fitted = mapped(rows, gains, "toxic int, gain double").collect()
     model.slope, model.offset = logistic([(r["gain"], r["toxic"], stands[r["toxic"]]) for r in fitted])
     return model
 
@@ -263,5 +263,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, least: float = 0.7, model: Mode
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    found = read.mapInArrow(scored, "doc_id long, score double")
+    found = mapped(read, scored, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -66,15 +66,11 @@ def test_parts(spark, monkeypatch):
 
     batches = frame.coalesce(1).select("conv_id", "role", "text").toArrow().to_batches()
     monkeypatch.setattr(chat_format, "PART", 10)
-    held = {}
-
-    class Frame:
-        def __getattr__(self, name):
-            return lambda *a, **k: held.update({name: a}) or self
-
-    chat_format.format_conversations(type("F", (), {"select": lambda self, *a: Frame()})(), BYTES)
-    parts = list(held["mapInArrow"][0](batches))
+    held = []
+    monkeypatch.setattr(chat_format, "mapped", lambda frame, function, *_: held.append(function))
+    chat_format.format_conversations(frame, BYTES)
+    chat_format.digests(frame)
+    parts = list(held[0](batches))
     assert len(parts) > 5
-    chat_format.digests(Frame())
-    (row,) = [b.to_pylist()[0] for b in held["mapInArrow"][0](parts)]
+    (row,) = [b.to_pylist()[0] for b in held[1](parts)]
     assert tuple(row.values()) == whole[0]
