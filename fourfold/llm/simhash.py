@@ -4,6 +4,10 @@ Each of the 64 bits gets a non-zero vector of radius + 1 bits, and every non-zer
 bits whose vector has an odd product with v. The vectors of `radius` bits span less than the whole space, so some v is
 orthogonal to all of them: two fingerprints that differ in these bits agree under its mask. Every pair within the radius
 thus meets in some bucket; a pair that meets is compared exactly.
+
+A fingerprint of shingles moves by far more than a few bits between near copies of a similarity of 0.8, so the groups of
+`one_of_each_group` add links of a second fingerprint, of the text's distinct words, within WORD_RADIUS bits; those count if
+sketches of the texts' five-word shingles are similar enough.
 """
 
 from __future__ import annotations
@@ -14,67 +18,137 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fourfold.llm.common import checkpointed, slices, text_of
+from fourfold.llm.common import checkpointed, mapped, slices, text_of
 from fourfold.llm.components import components
 
 SEED = 42
 #: Hashes whose bits are counted at once.
 HASHES = 1 << 16
+#: Distinct words whose hashes a worker remembers.
+WORDS_KNOWN = 300_000
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 TOGETHER = 1 << 15
+#: Of so many fingerprints one is looked at to find such buckets.
+LOOKED_AT = 64
+#: The second fingerprint's radius; the sketch's bins; the least share of equal bins: a similarity of 0.8 less 1.4 standard
+#: errors of the sketch.
+WORD_RADIUS, BINS, LEAST_EQUAL = 5, 128, 0.75
+#: Fixed odd numbers that mix hashes.
+MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Up to this size all links of a bucket are given, beyond it a spanning forest of them.
 FEW = 32
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """The bits set in over half the XXH64 hashes of the shingles; 0 if there is no word."""
-    found = text.lower().split()  # of bytes: A-Z and the six ASCII white spaces alone
-    if not found:
-        return 0
+def hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of each shingle; of the whole sequence if it is shorter."""
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-words] + 1]).tolist()
-    ends = ends[words - 1 :].tolist()
     hashed = xxhash.xxh64_intdigest
+    return np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())), "<u8", len(starts))
+
+
+def majority(some: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
     counts = np.zeros(64, np.int64)
-    for k in range(0, len(starts), HASHES):
-        some = [hashed(joined[a:b], SEED) for a, b in zip(starts[k : k + HASHES], ends[k : k + HASHES])]
-        bits = np.unpackbits(np.array(some, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    for k in range(0, len(some), HASHES):
+        bits = np.unpackbits(some[k : k + HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(some), bitorder="little").view("<u8")[0])
+
 
+def words_of(text: bytes) -> list[bytes]:
+    """Lower-cased A-Z, split at the six ASCII white spaces, as bytes do."""
+    return text.lower().split()
 
-def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, fp (the 64 bits as a long)."""
+
+def fingerprint(text: bytes, words: int = 4) -> int:
+    """The bits set in over half the XXH64 hashes of the shingles; 0 if there is no word."""
+    found = words_of(text)
+    return majority(hashes(found, words)) if found else 0
+
+
+def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id", sketched: bool = False) -> DataFrame:
+    """Per row: doc_id, fp (the 64 bits as a long); if sketched, word_fp and sketch, null for texts without a word."""
 
     def prints(batches):
+        known = WordHashes()
         for batch in batches:
             for part in slices(batch, 1):
-                found = [fingerprint(x, words) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                fps, word_fps, sketches = [], [], []
+                for text in part.column(1).cast(pa.binary()).to_pylist():
+                    found = words_of(text)
+                    some = hashes(found, words) if found else np.empty(0, "<u8")
+                    fps.append(majority(some) if found else 0)
+                    if sketched:
+                        word_fps.append(of_words(found, known) if found else None)
+                        sketches.append(sketch(some) if found else None)
+                columns = [part.column(0), as_longs(fps)]
+                if sketched:
+                    columns += [as_longs(word_fps), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "word_fp", "sketch"][: len(columns)])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return read.mapInArrow(prints, "doc_id long, fp long")
+    return mapped(read, prints, "doc_id long, fp long" + ", word_fp long, sketch binary" * sketched)
+
+
+def as_longs(values: list[int | None]) -> pa.Array:
+    return pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
+
+
+class WordHashes(dict):
+    """word -> its hash."""
+
+    def __missing__(self, word):
+        if len(self) > WORDS_KNOWN:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+def of_words(found: list[bytes], known: WordHashes) -> int:
+    """The fingerprint of the distinct words."""
+    distinct = set(found)
+    return majority(np.fromiter(map(known.__getitem__, distinct), "<u8", len(distinct)))
+
+
+def sketch(some: np.ndarray) -> bytes:
+    """The least hash of each of BINS bins, 16 bits each, over the distinct shingles of one word more than those hashed: two
+    that follow each other are one such shingle. All bits stand for an empty bin."""
+    longer = (some[:-1] * MIX_A ^ (some[1:] + MIX_A) * MIX_B) * MIX_A if len(some) > 1 else some * MIX_A
+    longer ^= longer >> np.uint64(29)
+    longer *= MIX_B
+    low = np.full(BINS, 0xFFFF, "<u2")
+    np.minimum.at(low, (longer >> np.uint64(57)).astype(np.int64) % BINS, ((longer >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16))
+    return low.tobytes()
 
 
 def masks(radius: int) -> list[int]:
-    """The covering masks, 2**(radius + 1) - 1 of them, as signed longs."""
-    vectors = (1 << radius + 1) - 1
-    of_bit = [1 + k % vectors for k in range(64)]
-    found = [sum(1 << k for k, x in enumerate(of_bit) if (x & v).bit_count() % 2) for v in range(1, vectors + 1)]
+    """The covering masks, 2**(radius + 1) - 2 of them, as signed longs.
+
+    All bits' vectors have the top bit set, the rest count up; so each product with a v that isn't the top bit alone is odd
+    for half the bits, and every mask keeps 32. That one v gives the mask of all bits, under which no two distinct
+    fingerprints agree, and is left out.
+    """
+    if not 0 < radius <= 6:
+        raise ValueError("masks of 64 bits cover a radius from 1 to 6")
+    top = 1 << radius
+    of_bit = [top | k % top for k in range(64)]
+    found = [sum(1 << k for k, x in enumerate(of_bit) if (x & v).bit_count() % 2) for v in range(1, 2 * top) if v != top]
     return [m - (1 << 64) if m >> 63 else m for m in found]
 
 
 def near_links(classes: DataFrame, radius: int) -> DataFrame:
     """Links (a, b) between the ids of `classes` (fp, id), enough to connect all that are within the radius.
 
-    A bucket of over TOGETHER fingerprints is split into blocks that meet pair by pair in tasks of their own.
+    A bucket of over TOGETHER fingerprints, by an estimate, is split into blocks that meet pair by pair in tasks of their own.
     """
     keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(radius)))
     rows = classes.select("fp", "id", F.posexplode(keys).alias("mask", "key"))
-    hot = checkpointed(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > TOGETHER))
+    looked = rows.where(F.pmod(F.xxhash64("fp"), F.lit(LOOKED_AT)) == 0).groupBy("mask", "key").agg((F.count("*") * LOOKED_AT).alias("n"))
+    hot = checkpointed(looked.where(F.col("n") > TOGETHER))
     rows = rows.withColumn("block", F.lit(0))
     if not hot.isEmpty():
         blocks = F.ceil(F.col("n") / TOGETHER).cast("int")
@@ -98,7 +172,7 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
             yield links_of(rest, np.array([0, len(rest[0])]), radius)
 
     dealt = rows.select("mask", "key", "block", "fp", "id").repartition("mask", "key", "block")
-    return dealt.sortWithinPartitions("mask", "key", "block").mapInArrow(linked, "a long, b long")
+    return mapped(dealt.sortWithinPartitions("mask", "key", "block"), linked, "a long, b long")
 
 
 def links_of(columns: list[np.ndarray], edges: np.ndarray, radius: int) -> pa.RecordBatch:
@@ -161,12 +235,47 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, text: str
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similar(links: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose sketches have LEAST_EQUAL of their bins in common, bins empty in both left out."""
+    first, second = (sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+
+    def compare(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (2, 3))
+            full = (x != 0xFFFF) | (y != 0xFFFF)
+            near = ((x == y) & full).sum(axis=1) >= LEAST_EQUAL * full.sum(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    pairs = links.distinct().join(first, "a").join(second, "b").select("a", "b", "a_sketch", "b_sketch")
+    return mapped(pairs, compare, "a long, b long")
+
+
+def group_links(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """(links, ids): links (a, b) between documents that are near copies, and the ids that several rows have."""
+    prints = checkpointed(fingerprints(docs, words, sketched=True).where("doc_id is not null"))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    by_words = checkpointed(prints.where("word_fp is not null").groupBy(F.col("word_fp").alias("fp")).agg(F.min("doc_id").alias("id")))
+    own = prints.join(classes, "fp").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    sketches = prints.where("word_fp is not null").groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("word_fp").alias("fp"))
+    same = sketches.join(by_words, "fp").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    near = similar(near_links(by_words, WORD_RADIUS).union(same), sketches)
+    repeated = prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
+    return near_links(classes, radius).union(own).union(near), repeated
+
+
 def one_of_each_group(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """`docs`, whole rows, with one document of each near-duplicate group: the one with the smallest doc_id.
+    """`docs`, whole rows, with one document of each group of near copies: the one with the smallest doc_id.
 
-    Of rows that share an id one is kept; rows with a null id stay. The ids that go are joined, not the texts' groups.
+    Documents are linked if their fingerprints differ in `radius` bits or fewer, or if those of their distinct words differ
+    in WORD_RADIUS or fewer and their texts' shingles of words + 1 words are similar, 0.8 or more but for the sketch's error.
+    Of rows that share an id one is kept; rows with a null id stay. The ids that go are joined to the documents, whose texts
+    move only where that join or a repeated id needs it.
     """
-    found = near_duplicates(docs, radius, words)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(docs["doc_id"].isNull()))
+    links, repeated = group_links(docs, radius, words)
+    gone = checkpointed(components(links).where("node != component").select(F.col("node").alias("gone_id")))
+    stay = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    repeated = checkpointed(repeated)
+    if repeated.isEmpty():
+        return stay
+    once = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_semi").dropDuplicates(["doc_id"])
+    return stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_anti").unionByName(once)

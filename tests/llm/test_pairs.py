@@ -76,9 +76,9 @@ def near_texts():
 
 def test_masks_cover():
     rng = random.Random(2)
-    for radius in (1, 2, 4):
+    for radius in (1, 2, 4, 5, 6):
         found = masks(radius)
-        assert len(found) == 2 ** (radius + 1) - 1
+        assert len(found) == 2 ** (radius + 1) - 2 and all((m % 2**64).bit_count() == 32 for m in found)
         for _ in range(500):
             apart = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(m & apart == 0 for m in found)
@@ -93,6 +93,7 @@ def test_simhash_by_force(spark):
 
 def test_simhash_splits_hot_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TOGETHER", 3)
+    monkeypatch.setattr(simhash, "LOOKED_AT", 1)
     rows = near_texts()
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in found) == simhash_by_force(rows)
@@ -117,6 +118,32 @@ def test_simhash_odd_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def shingles(text):
+    words = text.split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_go(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(900)]
+    rows, told = [], {}
+    for base in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        rows.append((base, " ".join(text)))
+        changed = list(text)
+        for _ in range(rng.randint(0, max(1, len(text) // 70))):
+            changed[rng.randrange(len(changed))] = rng.choice(words)
+        rows.append((1000 + base, " ".join(changed)))
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        told[1000 + base] = len(a & b) / len(a | b)
+        rows.append((2000 + base, " ".join(rng.sample(text, len(text)))))  # the same words in another order
+    kept = {r["doc_id"] for r in one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k in range(60)} | {2000 + k for k in range(60)} <= kept
+    near = [k for k, x in told.items() if x >= 0.8]
+    assert len(near) > 30 and sum(k in kept for k in near) <= 0.15 * len(near)
+    assert not [k for k, x in told.items() if x < 0.6 and k not in kept]
+
+
 def slow_score(words, item):
     """Smith-Waterman by its definition."""
     best, above = 0, [0] * (len(words) + 1)

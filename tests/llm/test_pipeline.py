@@ -33,8 +33,10 @@ def test_stages_keep_columns(stages):
 
 
 def test_near_duplicates_go(stages):
-    left = near_duplicates(stages[1]).where("doc_id = component_id")
-    assert ids(stages[2]) == ids(left) and len(ids(left)) < stages[1].count()
+    left = ids(near_duplicates(stages[1]).where("doc_id = component_id"))
+    kept = ids(stages[2])
+    assert set(kept) <= set(left) and len(left) < stages[1].count()
+    assert len(kept) > 0.9 * len(left) and 0 in kept  # near copies beyond the fingerprint's radius go as well
 
 
 def test_contaminated_documents_go(spark, stages, sf_dir):
