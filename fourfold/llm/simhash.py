@@ -6,8 +6,8 @@ orthogonal to all of them: two fingerprints that differ in these bits agree unde
 thus meets in some bucket; a pair that meets is compared exactly.
 
 A fingerprint of shingles moves by far more than a few bits between near copies of a similarity of 0.8, so the groups of
-`one_of_each_group` add links of a second fingerprint, of the text's distinct words, within WORD_RADIUS bits; those count if
-sketches of the texts' five-word shingles are similar enough.
+`one_of_each_group` add links between similar sketches of the texts' five-word shingles. Every distinct sketch is a node; those
+that agree in a band of the sketch meet and are compared whole, before links are thinned.
 """
 
 from __future__ import annotations
@@ -24,15 +24,18 @@ from fourfold.llm.components import components
 SEED = 42
 #: Hashes whose bits are counted at once.
 HASHES = 1 << 16
-#: Distinct words whose hashes a worker remembers.
-WORDS_KNOWN = 300_000
 #: Distinct fingerprints of a bucket that one task compares; larger buckets are dealt out in pairs of blocks.
 TOGETHER = 1 << 15
 #: Of so many fingerprints one is looked at to find such buckets.
 LOOKED_AT = 64
-#: The second fingerprint's radius; the sketch's bins; the least share of equal bins: a similarity of 0.8 less 1.4 standard
-#: errors of the sketch.
-WORD_RADIUS, BINS, LEAST_EQUAL = 5, 128, 0.75
+#: The sketch's bins; the least share of equal bins: a similarity of 0.8 less 1.4 standard errors of the sketch.
+BINS, LEAST_EQUAL = 128, 0.75
+#: Bins of a band, which make a long. Sketches with 96 of 128 bins in common share none of the 32 bands once in 200,000 times.
+BAND = 4
+#: Texts of so many distinct shingles or fewer are similar only if they have all of them in common.
+ALL_SHARED = 4
+#: As TOGETHER, for sketches.
+SKETCHES_TOGETHER = 1 << 13
 #: Fixed odd numbers that mix hashes.
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Up to this size all links of a bucket are given, beyond it a spanning forest of them.
@@ -71,58 +74,42 @@ def fingerprint(text: bytes, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, text: str = "text", doc_id: str = "doc_id", sketched: bool = False) -> DataFrame:
-    """Per row: doc_id, fp (the 64 bits as a long); if sketched, word_fp and sketch, null for texts without a word."""
+    """Per row: doc_id, fp (the 64 bits as a long); if sketched, sketch, null for texts without a word."""
 
     def prints(batches):
-        known = WordHashes()
         for batch in batches:
             for part in slices(batch, 1):
-                fps, word_fps, sketches = [], [], []
+                fps, sketches = [], []
                 for text in part.column(1).cast(pa.binary()).to_pylist():
                     found = words_of(text)
                     some = hashes(found, words) if found else np.empty(0, "<u8")
                     fps.append(majority(some) if found else 0)
                     if sketched:
-                        word_fps.append(of_words(found, known) if found else None)
                         sketches.append(sketch(some) if found else None)
-                columns = [part.column(0), as_longs(fps)]
-                if sketched:
-                    columns += [as_longs(word_fps), pa.array(sketches, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "word_fp", "sketch"][: len(columns)])
+                columns = [part.column(0), as_longs(fps), *[pa.array(sketches, pa.binary())] * sketched]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "sketch"][: len(columns)])
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    return mapped(read, prints, "doc_id long, fp long" + ", word_fp long, sketch binary" * sketched)
+    return mapped(read, prints, "doc_id long, fp long" + ", sketch binary" * sketched)
 
 
 def as_longs(values: list[int | None]) -> pa.Array:
     return pa.array([None if v is None else v - (1 << 64) if v >> 63 else v for v in values], pa.int64())
 
 
-class WordHashes(dict):
-    """word -> its hash."""
-
-    def __missing__(self, word):
-        if len(self) > WORDS_KNOWN:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
-        return found
-
-
-def of_words(found: list[bytes], known: WordHashes) -> int:
-    """The fingerprint of the distinct words."""
-    distinct = set(found)
-    return majority(np.fromiter(map(known.__getitem__, distinct), "<u8", len(distinct)))
-
-
 def sketch(some: np.ndarray) -> bytes:
     """The least hash of each of BINS bins, 16 bits each, over the distinct shingles of one word more than those hashed: two
-    that follow each other are one such shingle. All bits stand for an empty bin."""
+    that follow each other are one such shingle. All bits stand for an empty bin. Then 64 bits that tell all shingles of a text
+    of ALL_SHARED or fewer, 0 for others."""
     longer = (some[:-1] * MIX_A ^ (some[1:] + MIX_A) * MIX_B) * MIX_A if len(some) > 1 else some * MIX_A
     longer ^= longer >> np.uint64(29)
     longer *= MIX_B
     low = np.full(BINS, 0xFFFF, "<u2")
     np.minimum.at(low, (longer >> np.uint64(57)).astype(np.int64) % BINS, ((longer >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16))
-    return low.tobytes()
+    told = np.zeros(1, "<u8")
+    if (low != 0xFFFF).sum() <= ALL_SHARED and len(few := np.unique(longer)) <= ALL_SHARED:
+        told[0] = few.sum() | np.uint64(1)
+    return low.tobytes() + told.tobytes()
 
 
 def masks(radius: int) -> list[int]:
@@ -235,39 +222,108 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, text: str
     return prints.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(links: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of the links (a, b) whose sketches have LEAST_EQUAL of their bins in common, bins empty in both left out."""
-    first, second = (sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+def as_rows(sketches: pa.Array) -> np.ndarray:
+    """A row of longs for each sketch: its bands, and what tells all its shingles."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), "<i8").reshape(-1, BINS // BAND + 1)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the sketches x and y (rows of longs) have LEAST_EQUAL of their bins in common, bins empty in both left out."""
+    bins_x, bins_y = (z[..., :-1].copy().view("<u2") for z in (x, y))
+    full = ((bins_x & bins_y) != 0xFFFF).sum(axis=-1)
+    near = ((bins_x == bins_y) & (bins_x != 0xFFFF)).sum(axis=-1) >= LEAST_EQUAL * full
+    return near & ((x[..., -1] == y[..., -1]) | (x[..., -1] == 0) | (y[..., -1] == 0))
+
+
+def sketch_forest(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that are alike: each found node is compared once with those not yet found."""
+    left, a, b = np.arange(len(sketches)), [], []
+    while len(left):
+        waiting, left = [left[:1]], left[1:]
+        while waiting and len(left):
+            found = waiting.pop()
+            for node in found.tolist():
+                near = np.concatenate([alike(sketches[left[k : k + HASHES // 8]], sketches[node]) for k in range(0, len(left), HASHES // 8)])
+                if near.any():
+                    waiting.append(left[near])
+                    a.append(np.full(len(waiting[-1]), node))
+                    b.append(left[near])
+                    left = left[~near]
+                    if not len(left):
+                        break
+    return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
 
-    def compare(batches):
+
+def similar_links(classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the ids of `classes` (sketch, id, node: a number of its own), enough to connect all sketches that
+    are alike and share a band.
+
+    A first pass without sketches finds the buckets with company. One of over SKETCHES_TOGETHER nodes is split into blocks that
+    meet pair by pair in tasks of their own.
+    """
+
+    def banded(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, BINS) for k in (2, 3))
-            full = (x != 0xFFFF) | (y != 0xFFFF)
-            near = ((x == y) & full).sum(axis=1) >= LEAST_EQUAL * full.sum(axis=1)
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            keys = as_rows(batch.column(1))[:, :-1]
+            row, band = np.nonzero(keys != -1)
+            nodes = batch.column(0).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(band, pa.int32()), pa.array(keys[row, band]), pa.array(nodes)], names=["band", "key", "node"])
+
+    rows = mapped(classes.select("node", "sketch"), banded, "band int, key long, node long")
+    many = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / SKETCHES_TOGETHER).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.least(own, k) * blocks + F.greatest(own, k)))
+    met = rows.join(many, ["band", "key"]).select("band", "key", "node", pairs.alias("block"))
 
-    pairs = links.distinct().join(first, "a").join(second, "b").select("a", "b", "a_sketch", "b_sketch")
-    return mapped(pairs, compare, "a long, b long")
+    def linked(batches):
+        rest = None
+        for batch in batches:
+            here = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)] + [as_rows(batch.column(4))]
+            here = here if rest is None else [np.concatenate(x) for x in zip(rest, here)]
+            change = np.flatnonzero(np.any([np.diff(x) != 0 for x in here[:3]], axis=0)) + 1
+            if not len(change):  # one bucket so far
+                rest = here
+                continue
+            rest = [x[change[-1] :] for x in here]
+            yield alike_of(here[3][: change[-1]], here[4], np.concatenate([[0], change]))
+        if rest is not None and len(rest[0]):
+            yield alike_of(rest[3], rest[4], np.array([0, len(rest[0])]))
+
+    dealt = met.join(classes, "node").select("band", "key", "block", "id", "sketch").repartition("band", "key", "block")
+    return mapped(dealt.sortWithinPartitions("band", "key", "block"), linked, "a long, b long").distinct()
+
+
+def alike_of(ids: np.ndarray, sketches: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+    """Links within each bucket; `edges` has where buckets begin, and the end."""
+    size = np.diff(edges)
+    first = edges[:-1][size == 2]
+    near = first[alike(sketches[first], sketches[first + 1])]
+    a, b = [ids[near]], [ids[near + 1]]
+    for begin, n in zip(edges[:-1][size > 2].tolist(), size[size > 2].tolist()):
+        x, y = sketch_forest(sketches[begin : begin + n])
+        a.append(ids[begin + x])
+        b.append(ids[begin + y])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def group_links(docs: DataFrame, radius: int, words: int) -> tuple[DataFrame, DataFrame]:
     """(links, ids): links (a, b) between documents that are near copies, and the ids that several rows have."""
     prints = checkpointed(fingerprints(docs, words, sketched=True).where("doc_id is not null"))
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    by_words = checkpointed(prints.where("word_fp is not null").groupBy(F.col("word_fp").alias("fp")).agg(F.min("doc_id").alias("id")))
     own = prints.join(classes, "fp").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    sketches = prints.where("word_fp is not null").groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("word_fp").alias("fp"))
-    same = sketches.join(by_words, "fp").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    near = similar(near_links(by_words, WORD_RADIUS).union(same), sketches)
+    sketches = prints.where("sketch is not null").groupBy("sketch").agg(F.min("doc_id").alias("id"))
+    sketches = checkpointed(sketches.withColumn("node", F.monotonically_increasing_id()))
+    same = prints.join(sketches, "sketch").where("doc_id != id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     repeated = prints.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("repeated_id"))
-    return near_links(classes, radius).union(own).union(near), repeated
+    return near_links(classes, radius).union(own).union(same).union(similar_links(sketches)), repeated
 
 
 def one_of_each_group(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
     """`docs`, whole rows, with one document of each group of near copies: the one with the smallest doc_id.
 
-    Documents are linked if their fingerprints differ in `radius` bits or fewer, or if those of their distinct words differ
-    in WORD_RADIUS or fewer and their texts' shingles of words + 1 words are similar, 0.8 or more but for the sketch's error.
+    Documents are linked if their fingerprints differ in `radius` bits or fewer, or if their texts' shingles of words + 1 words
+    are similar, 0.8 or more but for the sketch's error. Each distinct text is compared for itself, in groups of any size.
     Of rows that share an id one is kept; rows with a null id stay. The ids that go are joined to the documents, whose texts
     move only where that join or a repeated id needs it.
     """

@@ -144,6 +144,32 @@ def test_near_copies_go(spark):
     assert not [k for k, x in told.items() if x < 0.6 and k not in kept]
 
 
+def kept_of(spark, texts):
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    return {r["doc_id"] for r in one_of_each_group(frame).collect()}
+
+
+def test_near_copies_among_many_like_fingerprints_go(spark):
+    rng = random.Random(21)
+    base, texts = [f"w{k}" for k in range(500)], []
+    for k in range(60):  # the same words but one, in another order; then a copy with another word changed
+        text = rng.sample(base, len(base))
+        text[rng.randrange(500)] = f"a{k}"
+        texts += [text, list(text)]
+        texts[-1][rng.randrange(500)] = f"b{k}"
+    assert kept_of(spark, texts) == set(range(0, 120, 2))
+
+
+def test_short_texts_are_told_apart():
+    def of(*numbers):
+        return simhash.sketch(np.array(numbers, "<u8"))
+
+    one, two = of(5), of(6)
+    two = one[:-8] + two[-8:]  # a chance agreement of the bins
+    x, y = (np.frombuffer(z, "<i8")[None] for z in (one, two))
+    assert simhash.alike(x, x).all() and not simhash.alike(x, y).any()
+
+
 def slow_score(words, item):
     """Smith-Waterman by its definition."""
     best, above = 0, [0] * (len(words) + 1)
