@@ -160,6 +160,16 @@ def test_near_copies_among_many_like_fingerprints_go(spark):
     assert kept_of(spark, texts) == set(range(0, 120, 2))
 
 
+def test_texts_of_the_same_words_are_compared_with_each_other(spark):
+    rng = random.Random(22)
+    texts = []
+    for k in range(8):  # the second has the words of the first in another order, the third is the second with paragraphs moved
+        first = [f"w{k}.{x}" for x in range(400)]
+        other = rng.sample(first, len(first))
+        texts += [first, other, [w for part in rng.sample(range(7), 7) for w in other[60 * part : 60 * part + 60]]]
+    assert kept_of(spark, texts) == {k for k in range(24) if k % 3 < 2}
+
+
 def test_short_texts_are_told_apart():
     def of(*numbers):
         return simhash.sketch(np.array(numbers, "<u8"))
