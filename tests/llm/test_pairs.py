@@ -170,6 +170,22 @@ def test_texts_of_the_same_words_are_compared_with_each_other(spark):
     assert kept_of(spark, texts) == {k for k in range(24) if k % 3 < 2}
 
 
+def test_near_copies_go_at_the_least_similarity(spark):
+    rng = random.Random(23)
+    texts, near = [], []
+    for k in range(300):
+        text = [f"v{rng.randrange(3000)}" for _ in range(rng.randint(50, 200))]
+        copy = list(text)
+        for at in rng.sample(range(len(copy)), max(1, len(copy) // 50)):
+            copy[at] = f"v{rng.randrange(3000)}"
+        a, b = shingles(" ".join(text)), shingles(" ".join(copy))
+        if 0.8 <= len(a & b) / len(a | b) < 0.9:
+            near.append(len(texts) + 1)
+            texts += [text, copy]
+    kept = kept_of(spark, texts)
+    assert len(near) > 100 and sum(k in kept for k in near) <= 0.05 * len(near)
+
+
 def test_short_texts_are_told_apart():
     def of(*numbers):
         return simhash.sketch(np.array(numbers, "<u8"))
