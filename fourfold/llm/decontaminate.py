@@ -1,8 +1,9 @@
-"""Operator 3: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment of words.
+"""Operator 3: benchmark decontamination by n-gram seeds and Smith-Waterman alignment of words.
 
 The test items are the query set. They are taken in blocks of a fixed number of bytes; each block is sent to every task
-and meets all documents where they are read, so that nothing is shuffled but counts of the block's own n-grams. A first
-pass counts in how many documents each of them occurs, a second one aligns what the rarest of them point at.
+and meets all documents where they are read, in one scan, so that nothing is shuffled. Every n-gram of an item is a seed,
+however common it is. Seeds on neighbouring diagonals point at one region, which is aligned unless it has too few of the
+item's words for any alignment to do.
 """
 
 from __future__ import annotations
@@ -110,56 +111,12 @@ def blocks(items: DataFrame, n: int, text: str, item_id: str):
         yield block
 
 
-def counted(docs: DataFrame, block: Block) -> tuple[dict[tuple[int, int], int], int]:
-    """In how many documents each n-gram of the block occurs, and the number of documents."""
-    sent = docs.sparkSession.sparkContext.broadcast((block, {n: np.sort(np.fromiter(x, np.int64, len(x))) for n, x in block.places().items()}))
-
-    def count(batches):
-        (block, known), seen, total = sent.value, defaultdict(int), 0
-        codes = Codes(block.vocabulary)
-        for batch in batches:
-            for part in slices(batch, 1):
-                total += part.num_rows
-                for words in block.coded(part.column(1).to_pylist(), codes):
-                    for n, grams in known.items():
-                        found = block.grams(words, n)
-                        found = found[found >= 0]
-                        if len(found):
-                            for gram in np.unique(found[there(grams, found)]).tolist():
-                                seen[n, gram] += 1
-        rows = [(0, 0, total), *((n, gram, count) for (n, gram), count in seen.items())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["n", "gram", "docs"])
-
-    found = mapped(docs, count, "n long, gram long, docs long").groupBy("n", "gram").agg(F.sum("docs").alias("docs")).collect()
-    by = {(n, gram): count for n, gram, count in found}  # the block's own n-grams at most
-    return by, by.pop((0, 0), 0)
-
-
 def there(known: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Which of `found` are in the sorted `known`."""
     at = np.searchsorted(known, found)
     return known[np.minimum(at, len(known) - 1)] == found
 
 
-def seeds(block: Block, by: dict[tuple[int, int], int], documents: int, window: int, rare: float) -> dict[int, dict[int, list[tuple[int, int]]]]:
-    """n -> seed -> (item, place): of each `window` n-grams in a row the rarest, and all in at most `rare` of the documents.
-
-    An unchanged run of n + window - 1 words has a seed, however common its words or the whole passage are.
-    """
-    chosen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-    for k, item in enumerate(block.items):
-        n = min(block.n, len(item))
-        grams = block.grams(item, n).tolist()
-        counts = [by.get((n, g), 0) for g in grams]
-        kept = {p for p, c in enumerate(counts) if c <= rare * documents}
-        for first in range(max(1, len(grams) - window + 1)):
-            kept.add(min(range(first, min(first + window, len(grams))), key=lambda p: (counts[p], p)))
-        for p in kept:
-            if counts[p]:
-                chosen[n][grams[p]].append((k, p))
-    return {n: dict(x) for n, x in chosen.items()}
-
-
 def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Smith-Waterman scores of each item against its region, and the region's place where the best alignment ends."""
     rows, width = max(map(len, items)), max(map(len, regions))
@@ -181,28 +138,28 @@ def aligned(items: list[np.ndarray], regions: list[np.ndarray]) -> tuple[np.ndar
     return best, end
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, window: int = 4, rare: float = 0.001, least: float = 0.5, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.5, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """Per row of `docs` and test item whose alignment scores `least` or more, and is worth WORDS words or the whole item:
     doc_id, item_id, score, end_word.
 
     The score is the best local alignment's (2 a matching word, -1 a changed, inserted or dropped one) over that of the
-    whole item; end_word counts the document's words, from 0. Case and punctuation don't count. Whole texts are searched.
+    whole item; end_word counts the document's words, from 0. Case and punctuation don't count. Whole texts are searched. Found
+    are alignments with n of the item's words in a row somewhere, all of them for a shorter item.
     Null and wordless texts and items match nothing, an empty side gives an empty table. Rows that share an id, and items
     that do, each give their rows. Other columns are not read.
     """
     spark = docs.sparkSession
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     out = "doc_id long, item_id long, score double, end_word long"
-    found = [matches(read, b, *counted(read, b), window, rare, least, out) for b in blocks(items, n, text, item_id)]
+    found = [matches(read, b, least, out) for b in blocks(items, n, text, item_id)]
     result = spark.createDataFrame([], out) if not found else found[0]
     for more in found[1:]:
         result = result.unionByName(more)
     return result
 
 
-def matches(read: DataFrame, block: Block, by, documents: int, window: int, rare: float, least: float, out: str) -> DataFrame:
-    chosen = seeds(block, by, documents, window, rare)
-    sent = read.sparkSession.sparkContext.broadcast((block, {n: (np.sort(np.fromiter(x, np.int64, len(x))), x) for n, x in chosen.items()}))
+def matches(read: DataFrame, block: Block, least: float, out: str) -> DataFrame:
+    sent = read.sparkSession.sparkContext.broadcast((block, {n: (np.sort(np.fromiter(x, np.int64, len(x))), x) for n, x in block.places().items()}))
 
     def search(batches):
         block, known = sent.value
@@ -239,22 +196,42 @@ def candidates(block: Block, known: dict, d: int, words: np.ndarray):
                     yield d, item, (place - inside) // len(block.items[item])
 
 
+def stretches(block: Block, document: np.ndarray, item: int, stretch: int) -> tuple[int, np.ndarray]:
+    """The place and the words of the region that a spot stands for."""
+    size = len(block.items[item])
+    pad = size // 4 + 2
+    first = max(0, stretch * size - pad)
+    return first, document[first : (stretch + 2) * size + pad]
+
+
+def promising(block: Block, items: list[int], regions: list[np.ndarray], least: float) -> np.ndarray:
+    """Which regions have enough of their item's words that an alignment could do, if all of these matched."""
+    base = len(block.vocabulary)
+    sizes = np.array([len(block.items[k]) for k in items])
+    owner = np.repeat(np.arange(len(items)), sizes)
+    wanted = np.concatenate([block.items[k] for k in items]) + owner * base
+    there_are = np.concatenate(regions)
+    of = np.repeat(np.arange(len(items)), [len(x) for x in regions])
+    words = np.bincount(owner, np.isin(wanted, (there_are + of * base)[there_are >= 0]), len(items))
+    return (words >= least * sizes) & (words >= np.minimum(sizes, WORDS))
+
+
 def scored(block: Block, documents: list[np.ndarray], spots: list[tuple[int, int, int]], least: float) -> dict:
     """(document, item) -> (score, end) of the best alignment, if it reaches `least`; spots are sorted by item length."""
+    fit = []
+    for k in range(0, len(spots), 4096):
+        some = spots[k : k + 4096]
+        may = promising(block, [s[1] for s in some], [stretches(block, documents[s[0]], *s[1:])[1] for s in some], least)
+        fit += [some[x] for x in np.flatnonzero(may).tolist()]
+    spots = fit
     best: dict[tuple[int, int], tuple[float, int]] = {}
     k = 0
     while k < len(spots):
         longest = len(block.items[spots[min(len(spots), k + 64) - 1][1]])
         some = spots[k : k + max(1, min(64 if longest > 512 else 4096, CELLS // (4 * longest + 8)))]
         k += len(some)
-        items, regions, firsts = [], [], []
-        for d, item, stretch in some:
-            size = len(block.items[item])
-            pad = size // 4 + 2
-            first = max(0, stretch * size - pad)
-            items.append(block.items[item])
-            regions.append(documents[d][first : (stretch + 2) * size + pad])
-            firsts.append(first)
+        items = [block.items[item] for _, item, _ in some]
+        firsts, regions = zip(*(stretches(block, documents[d], item, stretch) for d, item, stretch in some))
         for (d, item, _), score, end, first in zip(some, *(x.tolist() for x in aligned(items, regions)), firsts):
             size = len(block.items[item])
             share = score / (MATCH * size)

@@ -252,6 +252,16 @@ def test_a_passage_that_all_share_is_found(spark):
     assert found.count() == 50 and found.select("score").distinct().collect()[0][0] == 1.0
 
 
+@pytest.mark.parametrize("copies, others", [(1, 199), (3, 0), (20, 300)])
+def test_edited_copies_alone_are_found(spark, copies, others):
+    passage = [f"p{k}" for k in range(30)]
+    edited = " ".join("changed" if k % 5 == 3 else w for k, w in enumerate(passage))
+    rows = [(k, f"a{k} {edited} b{k}") for k in range(copies)] + [(1000 + k, f"nothing of it {k}") for k in range(others)]
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(passage))], "item_id long, text string"))
+    told = slow_score(words_of(rows[0][1]), words_of(" ".join(passage)))
+    assert told >= 0.5 and {r["doc_id"]: r["score"] for r in found.collect()} == pytest.approx(dict.fromkeys(range(copies), told))
+
+
 def test_no_items_or_documents(spark):
     some, none = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
