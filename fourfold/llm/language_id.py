@@ -1,13 +1,15 @@
 """Operator 8: language identification of spans.
 
-A word's script, by the range of its first letter, narrows the languages to those that write in it. Each distinct word is
-scored once per language by the likelihood of its character n-grams; Viterbi over a text's words with a penalty for each
-switch of language labels its spans.
+A run between white space is cut into words at what is no letter, at changes of script, and after PIECE letters if it is
+longer than LONG. A word's script narrows the languages to those that write in it. Each distinct run's words are scored once
+per language by the likelihood of their character n-grams; Viterbi over a text's words with a penalty for each switch of
+language labels its spans.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -46,6 +48,10 @@ USES = 0.01
 CLIP, WEIGHT, SWITCH = 6.0, 0.5, 8.0
 #: Distinct runs that a worker remembers, and words that it scores at once.
 REMEMBERED, AT_ONCE = 400_000, 40_000
+#: Letters of a word that is not cut, and of the pieces of a longer one.
+LONG, PIECE = 60, 20
+#: What joins the letters of a word: apostrophes, the soft hyphen and the joiners of some scripts.
+JOINS = frozenset("'\u2019\u02bc\u00ad\u200c\u200d")
 UNKNOWN = "und"
 
 
@@ -57,14 +63,44 @@ def script(word: str) -> int:
     return -1
 
 
-def letters_of(run: str) -> str:
-    return run.lower() if run.isalpha() else "".join(c for c in run.lower() if c.isalpha())
+def pieces(run: str) -> list[tuple[str, int]]:
+    """The words of a run, their letters in lower case, and how many characters of the run are before each (0 for the first);
+    one empty word if there is no letter. Marks belong to their word."""
+    if run.isascii() and run.isalpha() and len(run) <= LONG:
+        return [(run.lower(), 0)]
+    found: list[tuple[str, int]] = []
+    word, of = "", -1
+
+    def close():
+        step = PIECE if len(word) > LONG else LONG
+        found.extend((word[k : k + step], places[k]) for k in range(0, len(word), step))
+
+    places: list[int] = []
+    for at, shown in enumerate(run):
+        if not shown.isalpha():
+            if word and shown not in JOINS and not unicodedata.category(shown).startswith("M"):
+                close()
+                word, places = "", []
+            continue
+        for c in shown.lower():
+            if not c.isalpha():
+                continue
+            if word and script(c) != of:
+                close()
+                word, places = "", []
+            if not word:
+                of = script(c)
+            word += c
+            places.append(at)
+    if word:
+        close()
+    return [(found[0][0], 0), *found[1:]] if found else [("", 0)]
 
 
 def grams(words: list[str]):
     """Buckets of all words' n-grams between bounds, for each n: the bucket of each place, and whether the n-gram ends in its
     word; and the first place of each word."""
-    held = [f"^{w}$".encode()[:64] for w in words]
+    held = [f"^{w}$".encode() for w in words]
     data = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, held), np.int64, len(held))
     ends = np.cumsum(sizes)
@@ -88,12 +124,11 @@ class Model:
     writes: np.ndarray  # scripts x languages: is it a candidate?
 
     def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Scores of each word, 0 for the likeliest language, and its letters: all, and 0 if no language writes them."""
+        """Scores of each word of pieces(), 0 for the likeliest language, and its letters: all, and 0 if no language writes them."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
         size = np.zeros((len(words), 2), np.int32)
         at, kept = [], []
-        for k, run in enumerate(words):
-            word = letters_of(run)
+        for k, word in enumerate(words):
             size[k, 0] = len(word)
             if word:
                 at.append(k)
@@ -138,7 +173,8 @@ def learn(rows: DataFrame) -> Model | None:
                 for lang, of_runs in seen.items():
                     of_words: Counter = Counter()
                     for run, n in of_runs.items():
-                        of_words[letters_of(run)] += n
+                        for word, _ in pieces(run):
+                            of_words[word] += n
                     of_words.pop("", None)
                     if not of_words:
                         continue
@@ -168,30 +204,43 @@ def learn(rows: DataFrame) -> Model | None:
 
 
 class Scorer:
-    """Scores of runs between white space, each distinct one scored once."""
+    """Scores of the words of runs between white space, each distinct run's scored once."""
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
+        self.first = np.zeros(1, np.int64)  # of each known run: its first word; then the number of words
         self.scores, self.sizes = model.of_words([])
 
     def __call__(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(self.known) > REMEMBERED:
+        """Of each text: the numbers of its words, and their letters."""
+        if len(self.sizes) > REMEMBERED:
             self.__init__(self.model)
         known, fresh, out = self.known, [], []
         for text in texts:
             runs = text.split()
             at = np.fromiter((known.get(r, -1) for r in runs), np.int64, len(runs))
             for k in np.flatnonzero(at < 0).tolist():
-                at[k] = known.setdefault(runs[k], len(known))
-                if at[k] == len(known) - 1 and len(known) > len(self.sizes) + len(fresh):
+                before = len(known)
+                at[k] = known.setdefault(runs[k], before)
+                if at[k] == before:
                     fresh.append(runs[k])
             out.append(at)
         if fresh:
-            found = [self.model.of_words(fresh[k : k + AT_ONCE]) for k in range(0, len(fresh), AT_ONCE)]
+            words = [[w for w, _ in pieces(run)] for run in fresh]
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in words])])
+            flat = [w for x in words for w in x]
+            found = [self.model.of_words(flat[k : k + AT_ONCE]) for k in range(0, len(flat), AT_ONCE)]
             self.scores = np.concatenate([self.scores, *(x for x, _ in found)])
             self.sizes = np.concatenate([self.sizes, *(x for _, x in found)])
+        out = [self.words_at(at) for at in out]
         return [(at, self.sizes[at]) for at in out]
 
+    def words_at(self, runs: np.ndarray) -> np.ndarray:
+        first, count = self.first[runs], self.first[runs + 1] - self.first[runs]
+        if (count == 1).all():
+            return first
+        return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
 
 def constant(total: np.ndarray, scores: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Which texts are best labelled with one language alone, the one of the largest total.
@@ -248,8 +297,8 @@ def viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def labels(scorer: Scorer, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each text: a language per run between white space, the runs' letters (all, and those that some language writes),
-    and the runs' scores' numbers."""
+    """Of each text: a language per word, the words' letters (all, and those that some language writes), and the words' scores'
+    numbers."""
     runs = scorer(texts)
     full = [k for k, (at, _) in enumerate(runs) if len(at)]
     out = [(np.empty(0, np.int16), np.empty((0, 2), np.int32), np.empty(0, np.int64))] * len(texts)
@@ -271,7 +320,7 @@ def labels(scorer: Scorer, texts: list[str]) -> list[tuple[np.ndarray, np.ndarra
 
 
 def judged(scorer: Scorer, texts: list[str]) -> list[tuple[str, float, list]]:
-    """Of each text: the language with most letters, a score, and the spans (first run, run after the last, language).
+    """Of each text: the language with most letters, a score, and the spans (first word, word after the last, language).
 
     The score is the share of the letters that this language has in scripts of some language, times how sure its words are
     of it against the runner-up.
@@ -294,6 +343,22 @@ def judged(scorer: Scorer, texts: list[str]) -> list[tuple[str, float, list]]:
     return out
 
 
+def in_runs(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
+    """Spans of words as spans of runs between white space, and the characters of the text that they begin and end at.
+
+    A run in which the language changes belongs to the later span, whose `begin` lies inside it.
+    """
+    if not spans:
+        return []
+    starts, place = [], 0
+    for k, run in enumerate(text.split()):
+        place = text.index(run, place)
+        starts += [(k, place + inside) for _, inside in pieces(run)]
+        place += len(run)
+    starts.append((k + 1, place))
+    return [{"first": starts[a][0], "after": starts[b][0], "lang": lang, "begin": starts[a][1], "end": starts[b][1]} for a, b, lang in spans]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -322,12 +387,12 @@ def languages(docs: DataFrame, model: Model | None = None, with_spans: bool = Fa
                 texts = part.column(1).to_pylist()
                 found = judged(scorer, texts) if scorer else [(UNKNOWN, 0.0, [])] * len(texts)
                 columns = [part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                spans = [[{"first": a, "after": b, "lang": lang} for a, b, lang in x[2]] for x in found] if with_spans else []
-                kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string())]))
+                spans = [in_runs(text, x[2]) for text, x in zip(texts, found)] if with_spans else []
+                kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32()), ("lang", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
                 more = [pa.array(spans, kind)] if with_spans else []
                 yield pa.RecordBatch.from_arrays([*columns, *more], names=["doc_id", "lang_pred", "score", *["spans"] * with_spans])
 
-    out = "doc_id long, lang_pred string, score double" + ", spans array<struct<first:int,after:int,lang:string>>" * with_spans
+    out = "doc_id long, lang_pred string, score double" + ", spans array<struct<first:int,after:int,lang:string,begin:int,end:int>>" * with_spans
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     found = mapped(read, predict, out)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *found.columns[1:])

@@ -84,6 +84,33 @@ def test_language_of_odd_rows(spark):
     assert {r["lang_pred"] for r in language_id.languages(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_all_of_a_long_run_is_judged(spark):
+    docs = spark.read.parquet(f"{MANY}/documents.parquet")
+    model = language_id.learned(docs)
+    text = {r["lang"]: r["text"] for r in docs.where("n_chars > 900").collect()}
+    words = {lang: [w for w in x.split() if w.isalpha()] for lang, x in text.items()}
+    joined = "/".join(words["en"][:15] + words["de"][:80])
+    frame = spark.createDataFrame([(1, joined), (2, joined.replace("/", "\u200b"))], "doc_id long, text string")
+    for row in language_id.languages(frame, model, with_spans=True).collect():
+        assert row["lang_pred"] == "de" and row["spans"][-1]["lang"] == "de" and row["spans"][-1]["end"] == len(joined)
+        assert [a["end"] for a in row["spans"][:-1]] == [b["begin"] for b in row["spans"][1:]]
+
+
+def test_a_run_without_spaces_is_judged_whole(spark):
+    rows = [(k, "漢字" * 30, "zh") for k in range(8)] + [(20 + k, "仮名" * 30, "ja") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame = spark.createDataFrame([(1, "漢字" * 40 + "仮名" * 200)], "doc_id long, text string")
+    (row,) = language_id.languages(frame, language_id.learned(docs), with_spans=True).collect()
+    assert row["lang_pred"] == "ja" and [s["lang"] for s in row["spans"]] == ["zh", "ja"]
+
+
+def test_pieces():
+    assert [w for w, _ in language_id.pieces("Don't/STOP_now")] == ["dont", "stop", "now"]
+    assert language_id.pieces("漢字かな") == [("漢字", 0), ("かな", 2)]
+    assert [w for w, _ in language_id.pieces("हिन्दी")] == ["".join(c for c in "हिन्दी" if c.isalpha())]
+    assert language_id.pieces("12") == [("", 0)] and len("".join(w for w, _ in language_id.pieces("é" * 1000))) == 1000
+
+
 def test_scripts():
     assert [language_id.NAMES[language_id.script(w)] for w in ("abc", "Жук", "γη", "漢", "かな", "한글", "שלום")] == ["latin", "cyrillic", "greek", "han", "kana", "hangul", "hebrew"]
     assert language_id.script("12") == -1
