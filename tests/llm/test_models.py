@@ -1,7 +1,9 @@
 """Operators 8, 9 and 10: learned models, and what doesn't depend on learning against brute force."""
 
+import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 from urllib.parse import urlsplit
@@ -126,6 +128,71 @@ def test_toxicity_of_held_out_rows(spark):
     assert hits[1, 1] >= 0.6 * (hits[1, 0] + hits[1, 1]) and hits[0, 1] <= 0.02 * (hits[0, 0] + hits[0, 1])
 
 
+def slow_gain(model, text):
+    """Windows of 16 coded words, compressed one by one with each dictionary."""
+    coded = [hashlib.blake2b(w.encode(), digest_size=12).digest() for w in re.findall(r"[^\s.,;:!?|]+", text.lower())]
+    toxic, ordinary = toxicity.compressor(model.toxic), toxicity.compressor(model.ordinary)
+    total = 0
+    for k in range(0, len(coded), 16):
+        window = b"".join(coded[k : k + 16])
+        total += max(0, len(ordinary.compress(window)) - len(toxic.compress(window)) - 1)
+    return total
+
+
+def test_toxicity_scores_by_plain_calls(spark):
+    docs, labels = spark.read.parquet(f"{MANY}/documents.parquet"), spark.read.parquet(f"{MANY}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    assert len(model.toxic) == len(model.ordinary) and model.toxic != model.ordinary
+    some = docs.where("doc_id % 9 = 0")
+    found = {r["doc_id"]: r["score"] for r in toxicity.toxicity(some, labels, model=model).collect()}
+    for row in some.collect():
+        slow = 1 / (1 + math.exp(-(model.slope * min(slow_gain(model, row["text"] or ""), 40) + model.offset)))
+        assert abs(found[row["doc_id"]] - slow) < 1e-9
+
+
+def test_held_out_labels_teach_nothing(spark):
+    docs, labels = spark.read.parquet(f"{MANY}/documents.parquet"), spark.read.parquet(f"{MANY}/labels.parquet")
+    held = toxicity.held_out(labels["doc_id"])
+    turned = labels.withColumn("toxic", F.when(held, 1 - labels["toxic"]).otherwise(labels["toxic"]))
+    assert toxicity.learn(docs, labels) == toxicity.learn(docs, turned)
+
+
+def slow_bucket(gram, n):
+    return ((int.from_bytes(gram, "little") + (n << 40)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 48
+
+
+def slow_buckets(word):
+    """The buckets of all n-grams up to 4 of a word between bounds, and of the whole word."""
+    held = f"^{word}$".encode()
+    grams = [slow_bucket(held[k : k + n], n) for n in range(1, 5) for k in range(len(held) - n + 1)]
+    return [*grams, (zlib.crc32(held) * 0x9E3779B97F4A7C15 % (1 << 64)) >> 48]
+
+
+def test_language_scores_by_force(spark):
+    rows = [(k, f"{a} {b} {a}", lang) for k, (a, b, lang) in enumerate([("the", "cats", "en"), ("die", "Katzen", "de"), ("ein", "straße", "de"), ("жук", "мир", "ru"), ("o", "x" * 130, "en")])]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", "text"))
+    assert model.languages == ["de", "en", "ru"]
+    counts = np.full((1 << 16, 3), 0.5)
+    for _, text, lang in rows:
+        for run in text.split():
+            for word, _ in language_id.pieces(run):
+                for bucket in slow_buckets(word):
+                    counts[bucket, model.languages.index(lang)] += 1
+    scores = np.log(counts / counts.sum(axis=0))
+    assert np.allclose(model.scores, scores, atol=1e-5)
+    words = ["the", "katzen", "straße", "мир", "", "x", "漢字", "theme"]
+    found, sizes = model.of_words(words)
+    for word, got, size in zip(words, found, sizes):
+        writes = {"л": [False, False, True], "l": [True, True, False]}.get("" if not word else "л" if "а" <= word[0] <= "я" else "l" if word[0] < "\u0370" else "")
+        if writes is None:
+            assert not got.any() and size.tolist() == [len(word), 0]
+            continue
+        sums = 0.5 * sum(scores[b] for b in slow_buckets(word))
+        best = max(x for x, w in zip(sums, writes) if w)
+        assert np.allclose(got, [max(x - best, -6.0) if w else -6.0 for x, w in zip(sums, writes)], atol=1e-3)
+        assert size.tolist() == [len(word)] * 2
+
+
 def toxic_rows(n=240):
     clean = [f"plain words of text number w{k} and more of them {k % 7} so on" for k in range(n)]
     return [(k, t + (" nasty horrid" if k % 3 == 0 else "")) for k, t in enumerate(clean)]
