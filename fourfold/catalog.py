@@ -8,12 +8,14 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fourfold.folders import checkpointed, scratch_path
 from fourfold.functions.terms import DefaultGraph, Iri, Literal, Quoted, Term, Var
 from fourfold.operators import dictionary, matching, mutation
 from fourfold.plans.layouts import DEFAULT_LAYOUTS, best, best_for_pattern, path, score
 from fourfold.plans.pattern import Pattern
 from fourfold.schema import NAMES, QUAD
 from fourfold.sources.tables import quads_of, quoted_of
+from fourfold.store import QuadStore, StoreOptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,30 +127,63 @@ BINDINGS: dict[str, tuple[Pattern, str]] = {
 SUBSETS = ["".join(c) for n in range(1, 5) for c in combinations(QUAD, n)]
 
 
+#: The layouts that the tables' store is saved in: the default ones and three that don't start with the graph.
+LAYOUTS = (*DEFAULT_LAYOUTS, NAMES, ("predicate", "object", "subject", "graph"), ("object", "subject", "predicate", "graph"))
+_saved: dict[tuple[str, str], str] = {}
+
+
+def folder_of(spark: SparkSession, sf_dir: str) -> str:
+    """Where the tables' store is saved, in the shared folder; it is built and written once a session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _saved:
+        path = scratch_path(spark, "store")
+        QuadStore(spark, quads_of(spark, sf_dir), quoted_of(spark, sf_dir), StoreOptions(layouts=LAYOUTS)).save(path)
+        _saved[key] = path
+    return _saved[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, **options) -> QuadStore:
+    """The tables' store, read from its folder; each call gives a handle of its own."""
+    return QuadStore.load(spark, folder_of(spark, sf_dir), StoreOptions(**options))
+
+
 def read(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return quads_of(spark, sf_dir), quoted_of(spark, sf_dir)
+    store = stored(spark, sf_dir)
+    return store.quads, store.quoted
+
+
+def terms_at(pattern: Pattern) -> list[Term | None]:
+    return [t for _, t in pattern.positions]
 
 
 def match_query(pattern: Pattern) -> Query:
-    return lambda spark, sf_dir: matching.match(*read(spark, sf_dir), pattern)
+    return lambda spark, sf_dir: stored(spark, sf_dir).match(*terms_at(pattern))
 
 
 def count_query(pattern: Pattern) -> Query:
-    return lambda spark, sf_dir: matching.count(*read(spark, sf_dir), pattern)
+    return lambda spark, sf_dir: spark.createDataFrame([(stored(spark, sf_dir).count(*terms_at(pattern)),)], "n long")
 
 
 def bindings_query(pattern: Pattern) -> Query:
-    return lambda spark, sf_dir: matching.bindings(*read(spark, sf_dir), pattern)
+    return lambda spark, sf_dir: stored(spark, sf_dir).bindings(*terms_at(pattern))
 
 
 def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The solutions of a pattern without variables are rows without columns; a column makes them comparable."""
     pattern = Pattern(ex("nation/7"), pred("inRegion"), ex("region/2"), ex("g/geo"))
-    return matching.bindings(*read(spark, sf_dir), pattern).select(F.lit(1).alias("matched"))
+    return stored(spark, sf_dir).bindings(*terms_at(pattern)).select(F.lit(1).alias("matched"))
 
 
 def on_quads(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(quads_of(spark, sf_dir))
+    return lambda spark, sf_dir: f(read(spark, sf_dir)[0])
+
+
+def distinct_query(names: Sequence[str], count: bool = False) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        quads = stored(spark, sf_dir).scan([NAMES[QUAD.index(n)] if n in QUAD else n for n in names], whole=True)
+        return matching.count_distinct_terms(quads, names) if count else matching.distinct_terms(quads, names)
+
+    return query
 
 
 def parts_of(spark: SparkSession, sf_dir: str, columns: str = "") -> DataFrame:
@@ -202,46 +237,65 @@ def tree(change: Callable[[DataFrame, DataFrame], mutation.Change], changed: boo
 
 
 def found_quoted(pattern: Quoted) -> Query:
-    return lambda spark, sf_dir: matching.find_quoted(quoted_of(spark, sf_dir), pattern)
+    return lambda spark, sf_dir: stored(spark, sf_dir).find_quoted(pattern)
 
 
 def add_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutation.add(without_parts(quads_of(spark, sf_dir)), parts_of(spark, sf_dir)).changed
+    return mutation.add(without_parts(read(spark, sf_dir)[0]), parts_of(spark, sf_dir)).changed
 
 
 def add_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutation.add(quads_of(spark, sf_dir), parts_of(spark, sf_dir)).quads
+    return mutation.add(read(spark, sf_dir)[0], parts_of(spark, sf_dir)).quads
 
 
 def remove_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutation.remove(quads_of(spark, sf_dir), parts_of(spark, sf_dir)).quads
+    return mutation.remove(read(spark, sf_dir)[0], parts_of(spark, sf_dir)).quads
 
 
 def removed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mutation.remove(quads_of(spark, sf_dir), parts_of(spark, sf_dir)).changed
+    return mutation.remove(read(spark, sf_dir)[0], parts_of(spark, sf_dir)).changed
 
 
 def dataset_has(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = Pattern(ex("nation/7"), pred("inRegion"), ex("region/2"), ex("g/geo"))
-    return matching.match(*read(spark, sf_dir), pattern).limit(1).agg((F.count("*") > 0).alias("found"))
+    found = stored(spark, sf_dir).as_dataset().has(ex("nation/7"), pred("inRegion"), ex("region/2"), ex("g/geo"))
+    return spark.createDataFrame([(found,)], "found boolean")
 
 
 def dataset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fourfold.store import QuadStore
-
-    return QuadStore(spark, *read(spark, sf_dir)).as_dataset().match(None, None, None, ex("g/geo")).store.quads
+    return stored(spark, sf_dir).as_dataset().match(None, None, None, GEO).store.quads
 
 
-def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quads of a graph as ids, and back."""
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All quads as ids, and back."""
     quads, quoted = read(spark, sf_dir)
-    ids = dictionary.dense_ids(dictionary.terms_of(quads, quoted))
-    out = dictionary.encoded_quads(ids, quads.where("g = '<ex:g/geo>'"))
+    ids = checkpointed(dictionary.dense_ids(dictionary.terms_of(quads, quoted)))
+    out = dictionary.encoded_quads(ids, quads)
     for c in QUAD:
         out = out.join(ids.select(F.col("id").alias(c), F.col("key").alias(f"{c}_key")), c)
     return out.select(*(F.col(f"{c}_key").alias(c) for c in QUAD))
 
 
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What `decode` gives for the ids of all objects."""
+    quads, quoted = read(spark, sf_dir)
+    ids = checkpointed(dictionary.dense_ids(dictionary.terms_of(quads, quoted)))
+    asked = quads.select(F.col("o").alias("key")).distinct().join(ids, "key").select("id")
+    return dictionary.decode(ids, asked).select("key")
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary of one graph's terms, filled up with all: known ids stay, new ones follow without gaps."""
+    quads, quoted = read(spark, sf_dir)
+    first = checkpointed(dictionary.dense_ids(dictionary.terms_of(quads.where("g = '<ex:g/geo>'"), quoted.limit(0))))
+    both = dictionary.encode(first, dictionary.terms_of(quads, quoted)).join(first.select("key", F.col("id").alias("was")), "key", "left")
+    kept = F.count_if(F.col("id") == F.col("was"))
+    return both.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("first"), F.max("id").alias("last"), kept.alias("kept"))
+
+
+def all_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.encodings(known(spark, sf_dir)).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+
+
 def id_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids have no gaps, and plain terms come first."""
     ids = known(spark, sf_dir)
@@ -250,13 +304,15 @@ def id_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def optional_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of two terms the dictionary has."""
-    asked = spark.createDataFrame([("<ex:nation/3>",), ("<ex:nobody>",)], "key string")
+    """Which of the customers' terms, and of as many that are nobody's, the dictionary has."""
+    kind = F.explode(F.array(F.lit("customer"), F.lit("nobody")))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", kind.alias("kind"))
+    asked = rows.select(F.concat(F.lit("<ex:"), "kind", F.lit("/"), F.col("c_custkey").cast("string"), F.lit(">")).alias("key"))
     return dictionary.encode_optional(known(spark, sf_dir), asked).select("key", F.col("id").isNotNull().alias("known"))
 
 
 def literal_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = quads_of(spark, sf_dir).where("o like '\"%'").select(F.col("o").alias("key")).distinct()
+    keys = read(spark, sf_dir)[0].where("o like '\"%'").select(F.col("o").alias("key")).distinct()
     return dictionary.term_table(keys).select("key", "kind", "value", F.coalesce("datatype", F.lit("")).alias("datatype"), F.coalesce("language", F.lit("")).alias("language"))
 
 
@@ -267,17 +323,17 @@ def term_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def node_query(graph: Term | None, count: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = matching.nodes(quads_of(spark, sf_dir), graph)
+        found = stored(spark, sf_dir, index_nodes=True).nodes(graph)
         return found.agg(F.count("*").alias("n")) if count else found
 
     return query
 
 
 def batch_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many patterns at once, as a table joined to the quads: of each customer the quads that it is subject of."""
-    quads = quads_of(spark, sf_dir)
-    asked = quads.where("p = '<ex:p/byCustomer>'").select(F.col("o").alias("asked")).distinct()
-    return asked.join(quads, F.col("asked") == F.col("s")).select("asked", "p", "o", "g")
+    """Many patterns at once: of each customer the quads that it is subject of."""
+    store = stored(spark, sf_dir)
+    asked = store.match(None, pred("byCustomer")).select(F.col("o").alias("asked"), F.col("o").alias("s")).distinct()
+    return store.match_many(asked).select("asked", "p", "o", "g")
 
 
 NODES_SQL = "SELECT g, s AS node FROM quads {0} UNION SELECT g, o FROM quads {0}"
@@ -290,15 +346,15 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out |= {name: match_query(pattern) for name, (pattern, _) in MATCHES.items()}
     out |= {name: bindings_query(pattern) for name, (pattern, _) in BINDINGS.items()}
-    out |= {f"distinct_{x}": on_quads(lambda q, x=x: matching.distinct_terms(q, list(x))) for x in SUBSETS}
-    out |= {f"count_distinct_{x}": on_quads(lambda q, x=x: matching.count_distinct_terms(q, list(x))) for x in SUBSETS}
+    out |= {f"distinct_{x}": distinct_query(list(x)) for x in SUBSETS}
+    out |= {f"count_distinct_{x}": distinct_query(list(x), count=True) for x in SUBSETS}
     return out | {
         "size": count_query(Pattern()),
         "count_pattern": count_query(Pattern(predicate=pred("did"))),
         "count_quoted": count_query(MATCHES["quoted_match"][0]),
         "bindings_ground": ground,
-        "distinct_gp": on_quads(lambda q: matching.distinct_terms(q, ["graph", "predicate"])),
-        "distinct_empty": on_quads(lambda q: matching.count_distinct_terms(q, [])),
+        "distinct_gp": distinct_query(["graph", "predicate"]),
+        "distinct_empty": distinct_query([], count=True),
         "index_find_terms_prefix": layout_query(SPOG, [True, False, False, False]),
         "index_find_terms_path": layout_query(DEFAULT_LAYOUTS[0], path(DEFAULT_LAYOUTS[0], ["graph", "subject"])),
         "index_count_terms_gap": layout_query(SPOG, [True, False, True], count=True),
@@ -320,8 +376,11 @@ def queries() -> dict[str, Query]:
         "dataset_match": dataset_match,
         "quoted_find": found_quoted(Quoted(Var("e"), pred("type"), Var("t"))),
         "quoted_find_nested": found_quoted(Quoted(Var("u"), Var("p"), Quoted(Var("e"), pred("type"), Literal("error")))),
-        "quoted_all": quoted_of,
+        "quoted_all": lambda spark, sf_dir: stored(spark, sf_dir).quoted,
         "dict_encode_dense": id_statistics,
+        "dict_encode_grown": grown,
+        "dict_encodings": all_encodings,
+        "dict_round_trip": round_trip,
         "dict_encode_optional": optional_ids,
         "dict_decode": decoded,
         "literal_parts": literal_parts,
@@ -371,8 +430,11 @@ def oracle_sql() -> dict[str, str]:
         "quoted_find_nested": f"""{WITH} SELECT k, s, p, o FROM quoted WHERE o IN (SELECT k FROM quoted WHERE p = '<ex:p/type>' AND o = '"error"')""",
         "quoted_all": f"{WITH} SELECT k, s, p, o FROM quoted",
         "dict_encode_dense": f"{WITH}, t AS ({terms}) SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) FILTER (WHERE NOT starts_with(key, '<<')) AS first_quoted FROM t",
-        "dict_encode_optional": f"{WITH}, t AS ({terms}) SELECT key, key IN (SELECT key FROM t) AS known FROM (VALUES ('<ex:nation/3>'), ('<ex:nobody>')) AS a(key)",
-        "dict_decode": quads("g = '<ex:g/geo>'"),
+        "dict_encode_grown": f"{WITH}, t AS ({terms}), geo AS (SELECT s AS key FROM quads WHERE g = '<ex:g/geo>' UNION SELECT p FROM quads WHERE g = '<ex:g/geo>' UNION SELECT o FROM quads WHERE g = '<ex:g/geo>' UNION SELECT '<ex:g/geo>') SELECT count(*) AS n, count(*) AS ids, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, (SELECT count(*) FROM geo) AS kept FROM t",
+        "dict_encodings": f"{WITH}, t AS ({terms}) SELECT count(*) AS n, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last FROM t",
+        "dict_round_trip": quads("true"),
+        "dict_encode_optional": "SELECT concat('<ex:', kind, '/', c_custkey, '>') AS key, kind = 'customer' AND c_custkey IN (SELECT c_custkey FROM customer) AS known FROM customer, (VALUES ('customer'), ('nobody')) AS k(kind)",
+        "dict_decode": f"{WITH} SELECT DISTINCT o AS key FROM quads",
         "literal_parts": f"""{WITH} SELECT DISTINCT o AS key, 'literal' AS kind, regexp_extract(o, '^"([^"]*)"', 1) AS value, regexp_extract(o, '"\\^\\^<([^<>]*)>$', 1) AS datatype, regexp_extract(o, '"@([^"@]*)$', 1) AS language FROM quads WHERE o LIKE '"%'""",
         "term_kinds": f"{WITH}, t AS ({terms}) SELECT CASE WHEN key = '' THEN 'default' WHEN starts_with(key, '<<') THEN 'quoted' WHEN starts_with(key, '<') THEN 'iri' WHEN starts_with(key, '_:') THEN 'blank' ELSE 'literal' END AS kind, count(*) AS n FROM t GROUP BY 1",
         "layout_scores": scores_sql(),

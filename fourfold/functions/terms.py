@@ -182,9 +182,8 @@ def direction(key: Column) -> Column:
 def value(key: Column) -> Column:
     """An IRI, a blank node's label, or a literal's text; null for quoted triples, empty for the default graph."""
     text = F.regexp_extract(key, r'(?s)^"(.*)"(?:\^\^<[^<>]*>|@[^"@]*)?$', 1)
-    plain = F.lit("\x00")  # stands for the escaped backslash while the others are put back
-    for escaped, shown in (("\\\\", plain), ('\\"', F.lit('"')), ("\\n", F.lit("\n")), ("\\r", F.lit("\r")), ("\x00", F.lit("\\"))):
-        text = F.replace(text, F.lit(escaped), shown)
+    plain = lambda t: F.replace(F.replace(F.replace(t, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    text = F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")  # between escaped backslashes no other escape can begin with one
     is_a = kind(key)
     return (
         F.when(is_a == "iri", key.substr(F.lit(2), F.length(key) - 2))
@@ -211,5 +210,27 @@ def literal_key(value: Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
+#: The tokens of a quoted triple's key, but for what opens one.
+TOKENS = r'(?s)>>|<[^<>]*>|_:[^ >]+|"(?:[^"\\]|\\.)*"(?:\^\^<[^<>]*>|@[^ >]+)?'
+
+
+def levels(key: Column) -> Column:
+    """The quoted triples (k, s, p, o) in a quoted triple's key, inner ones first, itself last.
+
+    The key's tokens are read once with a stack: what closes a triple takes three terms off it and puts theirs on.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<k:string,s:string,p:string,o:string>>").alias("found"))
+
+    def step(state: Column, token: Column) -> Column:
+        stack = state["stack"]
+        parts = [F.element_at(stack, k) for k in (-3, -2, -1)]
+        whole = quoted_key(*parts)
+        row = F.struct(whole.alias("k"), *(x.alias(n) for x, n in zip(parts, ("s", "p", "o"))))
+        closed = F.struct(F.concat(F.slice(stack, 1, F.size(stack) - 3), F.array(whole)).alias("stack"), F.concat(state["found"], F.array(row)).alias("found"))
+        return F.when(token == ">>", closed).otherwise(F.struct(F.concat(stack, F.array(token)).alias("stack"), state["found"].alias("found")))
+
+    return F.aggregate(F.regexp_extract_all(key, F.lit(TOKENS), F.lit(0)), start, step, lambda state: state["found"])
+
+
 def quoted_key(s: Column, p: Column, o: Column) -> Column:
     return F.concat(F.lit("<<"), s, F.lit(" "), p, F.lit(" "), o, F.lit(">>"))

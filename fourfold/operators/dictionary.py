@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fourfold.functions.terms import datatype, direction, kind, language, value
 from fourfold.schema import QUAD
 
-#: Hash ranges that ids are numbered in.
-RANGES = 4096
+#: Hash ranges that ids are numbered in, and so the most tasks that number them.
+RANGES = 1 << 16
 
 
 def terms_of(quads: DataFrame, quoted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from fourfold.schema import NAMES
 
-#: The default copies.
+#: The default copies.
 DEFAULT_LAYOUTS = (
     ("graph", "subject", "predicate", "object"),
     ("graph", "predicate", "object", "subject"),
@@ -23,12 +23,16 @@ def valid(layout: Layout) -> bool:
     return sorted(layout) == sorted(NAMES)
 
 
+#: What is said of layouts that can't be used.
+NO_LAYOUT, BAD_LAYOUT = "At least one index combination is required", "Invalid index combination: {}"
+
+
 def checked(layouts: Sequence[Layout]) -> tuple[tuple[str, ...], ...]:
     if not layouts:
-        raise ValueError("At least one index combination is required")
+        raise ValueError(NO_LAYOUT)
     for layout in layouts:
         if not valid(layout):
-            raise ValueError(f"Invalid index combination: {','.join(layout)}")
+            raise ValueError(BAD_LAYOUT.format(",".join(layout)))
     return tuple(tuple(x) for x in layouts)
 
 

@@ -23,16 +23,27 @@ def write_layouts(quads: DataFrame, path: str, layouts: Sequence[Sequence[str]])
         quads.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(f"{path}/{layout_name(layout)}")
 
 
+#: The sorted copies of the quoted triples: by key for joins with quads, and by what a pattern may bind.
+QUOTED_LAYOUTS = (("k",), ("s", "p", "o"), ("p", "o", "s"), ("o", "s", "p"))
+
+
+def quoted_layout(bound: Sequence[str]) -> tuple[str, ...]:
+    """The copy whose order starts with most of the bound columns; the one by key if none is bound."""
+    prefix = lambda x: next((n for n, c in enumerate(x) if c not in bound), len(x))
+    return max(QUOTED_LAYOUTS, key=lambda x: (prefix(x), -QUOTED_LAYOUTS.index(x)))
+
+
 def write_quoted(quoted: DataFrame, path: str) -> None:
-    quoted.repartitionByRange("p", "s").sortWithinPartitions("p", "s", "o").write.mode("overwrite").parquet(f"{path}/quoted")
+    for columns in QUOTED_LAYOUTS:
+        quoted.repartitionByRange(*columns).sortWithinPartitions(*columns).write.mode("overwrite").parquet(f"{path}/quoted_{''.join(columns)}")
 
 
 def read_layout(spark: SparkSession, path: str, layout: Sequence[str]) -> DataFrame:
     return spark.read.parquet(f"{path}/{layout_name(layout)}").select(*QUAD)
 
 
-def read_quoted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/quoted").select("k", "s", "p", "o")
+def read_quoted(spark: SparkSession, path: str) -> dict[tuple[str, ...], DataFrame]:
+    return {x: spark.read.parquet(f"{path}/quoted_{''.join(x)}").select("k", "s", "p", "o") for x in QUOTED_LAYOUTS}
 
 
 def without_nulls(quads: DataFrame) -> DataFrame:

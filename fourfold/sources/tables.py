@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fourfold.functions.terms import iri_key, literal_key, quoted_key
+from fourfold.functions.terms import DefaultGraph, iri_key, levels, literal_key, quoted_key
+from fourfold.schema import QUADS_SCHEMA
 
 PREFIX = "ex:"
 
@@ -89,22 +91,19 @@ def rows_of(frame: DataFrame, rows: list[tuple[Column, ...]], names: tuple[str,
     return out.where(reduce(lambda a, b: a & b, (F.col(n).isNotNull() for n in names)))
 
 
-def quads_from_terms(spark: SparkSession, quads) -> tuple[DataFrame, DataFrame]:
-    """(quads, quoted) of tuples of terms (subject, predicate, object, graph); the graph may be left out."""
-    from fourfold.functions.terms import DefaultGraph, Quoted
-    from fourfold.schema import QUADS_SCHEMA, QUOTED_SCHEMA
+def quoted_in(quads: DataFrame, inner: bool = True) -> DataFrame:
+    """(k, s, p, o) of the quoted triples in rows of keys (s, p, o, g), each once; those inside others too if `inner`.
 
-    rows, quoted = [], {}
+    The keys are parsed where they are read, by column expressions; a key that is no quoted triple's raises.
+    """
+    keys = quads.select(F.explode(F.array("s", "p", "o", "g")).alias("key")).where(F.startswith("key", F.lit("<<")))
+    found = levels(F.col("key"))
+    rows = keys.select(F.explode(found if inner else F.slice(found, -1, 1)).alias("row")).select("row.*")
+    return rows.distinct()
 
-    def note(term):
-        if isinstance(term, Quoted):
-            quoted[term.key()] = (term.key(), *(t.key() for t in term.parts))
-            for part in term.parts:
-                note(part)
 
-    for quad in quads:
-        quad = (*quad, DefaultGraph()) if len(quad) == 3 else tuple(quad)
-        for term in quad:
-            note(term)
-        rows.append(tuple(t.key() for t in quad))
-    return spark.createDataFrame(rows, QUADS_SCHEMA), spark.createDataFrame(list(quoted.values()), QUOTED_SCHEMA)
+def quads_from_terms(spark: SparkSession, quads) -> DataFrame:
+    """Rows of tuples of terms (subject, predicate, object, graph); the graph may be left out."""
+    rows = [tuple(t.key() for t in ((*quad, DefaultGraph()) if len(quad) == 3 else quad)) for quad in quads]
+    columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(4)]
+    return spark.createDataFrame(pa.table(columns, names=list(QUADS_SCHEMA.names)))  # a local relation: no task of its own

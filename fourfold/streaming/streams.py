@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fourfold.folders import checkpointed
 from fourfold.schema import QUAD
 from fourfold.store import QuadStore
 
 
 def import_stream(store: QuadStore, stream: DataFrame, checkpoint: str | None = None, commit: bool = False) -> StreamingQuery:
-    """Adds the quads of a stream; ends when what is there by now is in. A batch that comes again changes nothing."""
+    """Adds the quads of a stream, and the quoted triples in them; ends when what is there by now is in. A batch that comes
+    again changes nothing."""
     return started(stream, lambda batch: store.add(batch), store, checkpoint, commit)
 
 
@@ -33,17 +35,10 @@ def change_stream(store: QuadStore, stream: DataFrame, checkpoint: str | None =
 
 def started(stream: DataFrame, apply, store: QuadStore, checkpoint: str | None, commit: bool) -> StreamingQuery:
     def each(batch: DataFrame, _: int) -> None:
-        # The batch is gone when this returns, so its rows are written, or kept as a plan on a version that is.
-        apply(batch)
+        # The batch is gone when this returns, so its rows, and no others, are written to the shared folder.
+        apply(checkpointed(batch))
         if commit:
             store.commit()
-        else:
-            store.quads = store.quads.checkpoint()
 
-    context = store.spark.sparkContext
-    if not commit and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(store.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     writer = stream.writeStream.foreachBatch(each).trigger(availableNow=True)
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()

@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from fourfold import catalog
+from fourfold import catalog, catalog_stores
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -25,13 +25,18 @@ def bag(rows, names):
     return sorted(n.lower() for n in names), Counter(tuple(plain(r[k]) for k in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+QUERIES = catalog.queries() | catalog_stores.queries()
+SQL = catalog.oracle_sql() | catalog_stores.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, duck, sf_dir, name):
-    found = catalog.queries()[name](spark, sf_dir)
-    told = duck.execute(catalog.oracle_sql()[name])
+    found = QUERIES[name](spark, sf_dir)
+    told = duck.execute(SQL[name])
     names = [d[0] for d in told.description]
     assert bag(found.collect(), found.columns) == bag(told.fetchall(), names)
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(QUERIES) == set(SQL)
+    assert not set(catalog.queries()) & set(catalog_stores.queries())

@@ -1,12 +1,15 @@
 """Stores of a few quads: changes, reads, quoted triples, nodes, datasets; every layout gives the same answers."""
 
+from collections import Counter
 from itertools import permutations
 
 import pytest
 
 from fourfold.functions.terms import Blank, DefaultGraph, Iri, Literal, Quoted, Var
-from fourfold.schema import NAMES
+from fourfold.schema import NAMES, QUADS_SCHEMA
+from fourfold.sources.files import quoted_layout
 from fourfold.store import NO_NODES, QuadStore, StoreOptions
+from fourfold.streaming.streams import import_stream
 
 V = Var
 
@@ -197,3 +200,69 @@ def test_bindings_need_all_positions(spark):
         store_of(spark, *FOUR).bindings(V("a"), None, V("b"), V("c"))
     with pytest.raises(ValueError, match="lack the columns g"):
         store_of(spark, *FOUR).add(spark.createDataFrame([("a", "b", "c")], "s string, p string, o string"))
+
+
+def leaves(frame):
+    return frame._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_changes_lengthen_the_plan_by_their_rows(spark):
+    store, sizes = store_of(spark, *FOUR), []
+    for k in range(100):
+        store.add_quads([iris(f"s{k % 40} p o{k}")])
+        sizes += [leaves(store.quads)] if k in (20, 40, 58) else []
+    assert sizes[2] - sizes[1] <= 2 * 18 and sizes[1] - sizes[0] <= 2 * 20 and store.size == 104
+    for k in range(3):
+        store.remove_matches(o=Iri(f"o{k + 10}"))
+    assert leaves(store.quads) <= 2 * 64 + 4 and store.size == 101
+    store.remove_matches(o=Quoted(None, None, None))
+    store.add_quads([iris("s p1 o1 g1"), iris("s1 p1 o1 g1")])
+    assert store.size == 102 and store.count(Iri("s1"), Iri("p1")) == 1
+
+
+def test_the_latest_change_counts(spark):
+    store = store_of(spark, *FOUR)
+    for _ in range(3):
+        assert store.remove_quad(*iris(FOUR[0])) and not store.has(*iris(FOUR[0]))
+        assert store.add_quad(*iris(FOUR[0])) and store.has(*iris(FOUR[0]))
+        store.compact()
+    assert store.size == 4
+
+
+def test_quoted_triples_by_every_way_in(spark, tmp_path):
+    said = Quoted(Iri("b"), Iri("name"), Literal('x >> "y" <<\n', language="en"))
+    rows = [(Iri("a"), Iri("says"), Quoted(said, Iri("p"), Blank("n")))]
+    keys_ = spark.createDataFrame([tuple(t.key() for t in (*rows[0], DefaultGraph()))], QUADS_SCHEMA)
+    asked, inner = Quoted(Quoted(V("x"), Iri("name"), None), None, None), Quoted(V("x"), Iri("name"), V("y"))
+    by_add = QuadStore(spark)
+    by_add.add(keys_)
+    by_terms = QuadStore(spark)
+    by_terms.add_quads(rows)
+    by_stream = QuadStore(spark)
+    keys_.write.parquet(str(tmp_path / "in"))
+    import_stream(by_stream, spark.readStream.schema(QUADS_SCHEMA).parquet(str(tmp_path / "in")), str(tmp_path / "c")).awaitTermination()
+    QuadStore(spark, keys_).save(str(tmp_path / "saved"))
+    outer = QuadStore(spark, keys_, options=StoreOptions(inner_quoted=False))
+    for store in (by_add, by_terms, by_stream, QuadStore(spark, keys_), QuadStore.load(spark, str(tmp_path / "saved"))):
+        assert store.count(o=asked) == 1 and [r["k"] for r in store.find_quoted(inner).collect()] == [said.key()]
+    assert outer.find_quoted(inner).isEmpty() and outer.quoted.count() == 1
+    bad = QuadStore(spark, spark.createDataFrame([("<a>", "<b>", "<<<a> >>", "")], QUADS_SCHEMA))
+    with pytest.raises(Exception, match="INVALID"):
+        bad.quoted.collect()
+
+
+def test_batches(spark):
+    store = store_of(spark, *FOUR, said("alice", "says", *iris("s1 p1 o1")))
+    asked = spark.createDataFrame([(1, "<s1>", None, None), (2, None, "<p2>", None), (3, "<s2>", "<p2>", None), (4, None, None, "<s1>"), (5, "<none>", None, None)], "n int, s string, p string, o_s string")
+    found = Counter((r["n"], r["s"], r["p"]) for r in store.match_many(asked).collect())
+    assert found == {(1, "<s1>", "<p1>"): 1, (1, "<s1>", "<p2>"): 1, (2, "<s1>", "<p2>"): 1, (2, "<s2>", "<p2>"): 1, (3, "<s2>", "<p2>"): 1, (4, "<alice>", "<says>"): 1}
+    assert store.match_many(asked.limit(0)).columns == ["n", "s", "p", "o", "g"] and store.match_many(asked.limit(0)).count() == 0
+    counts = {r["p"]: r["n"] for r in store.count_many(spark.createDataFrame([("<p1>",), ("<none>",)], "p string")).collect()}
+    assert counts == {"<p1>": 2, "<none>": 0}
+    with pytest.raises(ValueError, match="binds nothing"):
+        store.match_many(spark.createDataFrame([(1, None)], "n int, s string"))
+
+
+def test_quoted_layouts():
+    assert quoted_layout(()) == ("k",) == quoted_layout(("k",)) and quoted_layout(("s",)) == ("s", "p", "o") == quoted_layout(("p", "s"))
+    assert quoted_layout(("p",)) == ("p", "o", "s") and quoted_layout(("o",)) == ("o", "s", "p") == quoted_layout(("s", "o"))

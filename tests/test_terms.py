@@ -10,7 +10,7 @@ from fourfold.operators.dictionary import term_table
 TERMS = [
     Iri("s"), Blank("s"), Literal("s"), Iri("ex:a/b?c#d"), Literal("abc"), Literal("def"), Literal("abc", datatype="ex:d"), Literal("abc", language="en_us", direction="ltr"),
     Literal("abc", language="en_us", direction="rtl"), Literal("abc", language="en"), Literal("1", datatype="xsd:integer"), Literal("01", datatype="xsd:integer"), Literal(""),
-    Literal('a "quote", a \\ and\na line\r'), Literal('x"^^<ex:d>'), Literal('x"@en'), Literal("\\n"), Literal("<<a b c>>"), DefaultGraph(),
+    Literal('a "quote", a \\ and\na line\r'), Literal('x"^^<ex:d>'), Literal('x"@en'), Literal("\\n"), Literal("a\x00b"), Literal('\\\\"\\'), Literal("<<a b c>>"), DefaultGraph(),
     Quoted(Iri("a"), Iri("b"), Literal("c d")), Quoted(Quoted(Iri("a"), Iri("b"), Blank("c")), Iri("p"), Quoted(Iri("a"), Iri("b"), Quoted(Iri("x"), Iri("y"), Literal(">> z", language="en")))),
 ]
 text = st.text(alphabet='ab\\"\n\r<>@^-é ', max_size=12)
