@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fourfold.folders import checkpointed, scratch_path
+
+__all__ = ["BATCH_BYTES", "SLICE_BYTES", "checkpointed", "give_back", "mapped", "scratch_path", "slices", "table", "text_of"]
+
 #: Bytes of an Arrow batch, and of the text that a Python worker holds as Python strings at once.
 BATCH_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
 
@@ -19,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where it names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "file://" + os.path.join(tempfile.gettempdir(), "fourfold-checkpoints")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from the shared folder, so that a lost executor loses none of it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, for a table that is written once and read again."""
-    unique = spark._jvm.java.util.UUID.randomUUID().toString()
-    return f"{checkpoint_dir(spark)}/fourfold-{name}-{unique}"
-
-
 def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
     """Zero-copy slices of `batch` whose `column` holds about `limit` bytes each; a longer value stands alone."""
     if not batch.num_rows:
@@ -56,6 +38,7 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
 def mapped(df: DataFrame, function, schema, encodes: bool = False) -> DataFrame:
     """mapInArrow with batches of BATCH_BYTES, in workers that give back what they no longer need.
 
+    The bound is a setting of the session, which Spark reads when the rows are, so it stays set.
     Workers outlive their tasks. Only a function that `encodes` finds the encoder that its worker has kept; others start
     without it.
     """

@@ -14,10 +14,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fourfold.llm.common import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules at most: they are one expression.
 MOST_RULES = 1000
-#: Labelled rows that the trees learn from: about so many, chosen by a seeded hash.
+#: Labelled rows that the trees learn from: about so many, each drawn for itself.
 SAMPLE = 20_000
 #: Pseudo-rows with the overall rate of blocks that every suffix is given.
 PRIOR = 20.0
@@ -106,7 +108,8 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5
     The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased, the path what follows up to `?`,
     `#` or the end; null URLs and those without `://` have both empty. The longest rule that fits decides; else the trees
     do: block at `least` or more. They learn from about SAMPLE rows that a rule decides; if those are all of one verdict or
-    there are none, that verdict (allow if none) is given with score 1 or 0. Suffix statistics are counted over all rows.
+    there are none, that verdict (allow if none) is given with score 1 or 0. Suffix statistics are counted over all rows, for a
+    row that a rule decides without itself. Rules are the only labels.
     Repeated rows and null ids keep a row each; an empty table gives an empty result; other columns are not read.
     """
     read = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
@@ -115,22 +118,26 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5
     found = found.withColumn("rule", fitting(rules, F.col("host"), F.col("path")))
     blocks = [r.text for r in rules if r.block]
     found = lexical(found.withColumn("label", F.when(F.col("rule").isNotNull(), F.col("rule").isin(blocks).cast("double"))))
-    total, labelled, blocked = found.agg(F.count("*"), F.count("label"), F.sum("label")).first()
-    rate = (blocked or 0.0) / max(labelled, 1)
-    by_suffix = found.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.sum("label").alias("bad"))
-    smooth = (F.coalesce("bad", F.lit(0.0)) + PRIOR * rate) / (F.col("known") + PRIOR)
-    by_suffix = by_suffix.select("suffix", smooth.alias("suffix_rate"), (F.col("n") / max(total, 1)).alias("suffix_share"))
-    if 0 < (blocked or 0) < labelled:
+    # The statistics of a row leave out its own label, else the trees would read it there: they are counted by suffix and
+    # label, and a labelled row takes itself off.
+    by_suffix = checkpointed(found.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("known"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("bad")))
+    total, labelled, blocked = by_suffix.agg(F.sum("n"), F.sum("known"), F.sum("bad")).first()
+    rate = (blocked or 0.0) / max(labelled or 0, 1)
+    if 0 < (blocked or 0) < (labelled or 0):
+        own = F.col("label").isNotNull().cast("int")
+        smooth = (F.col("bad") - F.coalesce("label", F.lit(0.0)) + PRIOR * rate) / (F.col("known") - own + PRIOR)
+        statistics = {"suffix_rate": smooth, "suffix_share": F.col("n") / max(total, 1)}
         numbers = [F.col(c).cast("double").alias(c) for c in FEATURES]
-        full = found.join(by_suffix, "suffix").select("page_id", "host", "path", "rule", "label", F.xxhash64(F.lit(10), "url").alias("draw"), *numbers)
-        full = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(full)
-        drawn = full.where("label is not null")
+        full = found.join(by_suffix, "suffix").withColumns(statistics).select("page_id", "host", "path", "rule", "label", *numbers)
+        vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        drawn = found.where("label is not null")
         if labelled > SAMPLE:
-            drawn = drawn.where(F.pmod("draw", F.lit(1 << 20)) < int(SAMPLE / labelled * (1 << 20)))
-        train = drawn.select("features", "label").coalesce(4)
+            drawn = drawn.where(F.rand(10) < SAMPLE / labelled)
+        drawn = drawn.join(by_suffix, "suffix").withColumns(statistics).select("label", *numbers)
+        train = checkpointed(vectors.transform(drawn).select("features", "label"))
         model = GBTClassifier(maxIter=15, maxDepth=4, maxBins=32, stepSize=0.3, seed=10, cacheNodeIds=False).fit(train)
         score = vector_to_array(F.col("probability"))[1]
-        scored = model.transform(full).select("page_id", "host", "path", "rule", "label", score.alias("score"))
+        scored = model.transform(vectors.transform(full)).select("page_id", "host", "path", "rule", "label", score.alias("score"))
     else:
         scored = found.select("page_id", "host", "path", "rule", "label", F.lit(float(rate)).alias("score"))
     block = F.when(F.col("label").isNotNull(), F.col("label") == 1.0).otherwise(F.col("score") >= least)

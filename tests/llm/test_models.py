@@ -8,13 +8,14 @@ import zlib
 from collections import Counter
 from urllib.parse import urlsplit
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fourfold.llm import language_id, toxicity, url_filter
+from fourfold.llm import language_id, queries, toxicity, url_filter
 from fourfold.llm.url_filter import RULES, Rule, judged
 
 MANY = "/root/testdata/sf0.01"
@@ -259,6 +260,23 @@ def test_trees_learn(spark):
     assert {r["verdict"] for r in one} == {"block"}
 
 
+@pytest.mark.parametrize("folder", [MANY, "/root/testdata/sf0.001"])
+def test_rules_in_sql(spark, folder):
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
+    told = connection.execute(queries.oracle_sql()["url_rules"]).fetchall()
+    judged_ = [(r["page_id"], r["host"], r["path"], r["rule"]) for r in queries.op10_url_filter(spark, folder).collect()]
+    assert Counter(told) == Counter(judged_) == Counter(tuple(r) for r in queries.url_rules(spark, folder).collect())
+
+
+def test_statistics_leave_out_the_own_label(spark):
+    """Suffixes of one labelled row each: a rate that held the row's own label would tell it."""
+    rows = [(k, f"http://h{k}.com/{'de' if k % 2 else 'fr'}/x{k}") for k in range(400)] + [(1000 + k, f"http://u{k}.info/") for k in range(50)]
+    rules = (Rule("com/de/", True), Rule("com/fr/", False))
+    found = {r["page_id"]: r for r in judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert all(0.2 < found[1000 + k]["score"] < 0.9 for k in range(50)) and len(found) == 450
+
+
 def test_entropy(spark):
     texts = ["", "a", "abab", "http://x.org/é?a=b.c[d]", "aaab\\."]
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(url_filter.entropy(F.col("t"))).collect()
