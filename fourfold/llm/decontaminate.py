@@ -143,7 +143,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0
     doc_id, item_id, score, end_word.
 
     The score is the best local alignment's (2 a matching word, -1 a changed, inserted or dropped one) over that of the
-    whole item; end_word counts the document's words, from 0. Case and punctuation don't count. Whole texts are searched. Found
+    whole item; of equal scores in one document the first place counts; end_word counts the document's words, from 0. Case and punctuation don't count. Whole texts are searched. Found
     are alignments with n of the item's words in a row somewhere, all of them for a shorter item.
     Null and wordless texts and items match nothing, an empty side gives an empty table. Rows that share an id, and items
     that do, each give their rows. Other columns are not read.
@@ -241,6 +241,10 @@ def scored(block: Block, documents: list[np.ndarray], spots: list[tuple[int, int
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """`docs`, whole rows, without those that an item is found in; rows with a null id stay."""
+    """`docs`, whole rows, without those that an item is found in.
+
+    Null and empty texts stay, and all rows if there are no items. Rows that share an id go together, those with a null id stay
+    whatever their text. An empty table gives an empty result; other columns may be called anything.
+    """
     found = contaminated(docs, items, **options).select(F.col("doc_id").alias("found_id")).where("found_id is not null").distinct()
     return docs.join(found, docs["doc_id"] == found["found_id"], "left_anti")

@@ -373,7 +373,8 @@ def languages(docs: DataFrame, model: Model | None = None, with_spans: bool = Fa
     """Per row: doc_id, held_out (crc32 of the id's text mod 4 is 2), lang_pred, score, and spans if asked for.
 
     The model is learned from the rows that are not held out and have an id and a lang, unless given. Null texts and those
-    without a letter, and all texts if nothing could be learned, are `und` with score 0. Texts whose script no language
+    without a letter, and all texts if nothing could be learned, are `und` with score 0. Equally likely languages tie for the
+    first by name. Texts whose script no language
     writes get the first language with score 0. Whole texts are labelled. Rows that share an id keep a row each; an empty
     table gives an empty result; other columns are not read.
     """
@@ -399,7 +400,12 @@ def languages(docs: DataFrame, model: Model | None = None, with_spans: bool = Fa
 
 
 def with_language(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """`docs`, whole rows, without those that have no letter or no language with a score of `least`."""
+    """`docs`, whole rows, without those that have no letter or no language with a score of `least`.
+
+    The model is learned from rows of `docs` as in `languages`; if nothing can be learned, as in an empty table or one without
+    a lang, no row stays. Null texts go. Rows are judged one by one, so repeated rows, repeated and null ids all keep what is
+    theirs; equally likely languages tie for the first by name. Other columns may be called anything.
+    """
     model = learned(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema, place = docs.schema, docs.columns.index("text")

@@ -324,14 +324,19 @@ def one_of_each_group(docs: DataFrame, radius: int = 4, words: int = 4) -> DataF
 
     Documents are linked if their fingerprints differ in `radius` bits or fewer, or if their texts' shingles of words + 1 words
     are similar, 0.8 or more but for the sketch's error. Each distinct text is compared for itself, in groups of any size.
-    Of rows that share an id one is kept; rows with a null id stay. The ids that go are joined to the documents, whose texts
-    move only where that join or a repeated id needs it.
+    Rows that share an id are one document: one row of them is kept, that of the least text, then of the least other columns
+    that can be ordered. Rows with a null id stay. Null and wordless texts are copies of each other. Ties go to the smallest id;
+    an empty table gives an empty result; other columns may be called anything. The ids that go are joined to the documents,
+    whose texts move only where that join or a repeated id needs it.
     """
     links, repeated = group_links(docs, radius, words)
     gone = checkpointed(components(links).where("node != component").select(F.col("node").alias("gone_id")))
-    stay = docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
     repeated = checkpointed(repeated)
-    if repeated.isEmpty():
-        return stay
-    once = stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_semi").dropDuplicates(["doc_id"])
-    return stay.join(repeated, stay["doc_id"] == repeated["repeated_id"], "left_anti").unionByName(once)
+    held = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"))
+    stay = held.join(gone, held["_id"] == gone["gone_id"], "left_anti")
+    if not repeated.isEmpty():
+        ordered = [F.col("_row").getField(c) for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
+        again = stay.join(repeated, stay["_id"] == repeated["repeated_id"], "left_semi")
+        once = again.groupBy("_id").agg(F.min_by("_row", F.struct("_text", *ordered)).alias("_row")).select("_row")
+        stay = stay.join(repeated, stay["_id"] == repeated["repeated_id"], "left_anti").select("_row").unionByName(once)
+    return stay.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
