@@ -40,8 +40,9 @@ BITS, LONGEST = 16, 4
 BUCKETS = 1 << BITS
 #: A fixed odd number near 2**64 over the golden ratio, which spreads what it multiplies.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Labelled rows of each language that the scores are learned from: about so many, chosen by a seeded hash.
-ROWS = 3000
+#: Labelled rows of each language that the scores are learned from: about so many, each drawn for itself by a seeded hash of its
+#: id and text. Languages at most, as the model holds BUCKETS numbers of each.
+ROWS, MOST_LANGUAGES = 3000, 1000
 #: A language that writes less than this share of its words in a script is no candidate for it.
 USES = 0.01
 #: Nats: the most that a word speaks against a language, its weight, and the price of a switch.
@@ -150,16 +151,18 @@ class Model:
 
 
 def learn(rows: DataFrame) -> Model | None:
-    """The model of rows (text, lang), lang not null; None if there are none.
+    """The model of rows (text, lang and, if there are ids, doc_id), lang not null; None if there are none.
 
-    About ROWS rows of each language are read. Their n-grams are counted where they are and summed up; BUCKETS numbers of
+    About ROWS rows of each language are read; more than MOST_LANGUAGES languages raise. Their n-grams are counted where they are and summed up; BUCKETS numbers of
     each language reach the driver.
     """
-    held = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    held = {r[0]: r[1] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
     if not held:
         return None
+    if len(held) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     some = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, ROWS / n))) for lang, n in held.items()))
-    draw = F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(1 << 20)) / (1 << 20)
+    draw = F.pmod(F.xxhash64(F.lit(8), *(c for c in ("doc_id", "text") if c in rows.columns)), F.lit(1 << 20)) / (1 << 20)
     drawn = rows.where(draw < some).select("lang", "text")
 
     def count(batches):
@@ -366,7 +369,7 @@ def held_out(doc_id: Column) -> Column:
 def learned(docs: DataFrame) -> Model | None:
     """The model of the documents that are not held out and have a language."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    return learn(rows.select(text_of().alias("text"), F.col("lang").cast("string").alias("lang")))
+    return learn(rows.select("doc_id", text_of().alias("text"), F.col("lang").cast("string").alias("lang")))
 
 
 def languages(docs: DataFrame, model: Model | None = None, with_spans: bool = False) -> DataFrame:

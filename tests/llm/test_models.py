@@ -107,6 +107,18 @@ def test_a_run_without_spaces_is_judged_whole(spark):
     assert row["lang_pred"] == "ja" and [s["lang"] for s in row["spans"]] == ["zh", "ja"]
 
 
+def test_repeated_texts_are_drawn_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "ROWS", 50)
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the same old text").alias("text"), F.lit("en").alias("lang"))
+    model = language_id.learn(rows.unionByName(spark.createDataFrame([(9999, "ein anderer satz", "de")], rows.schema)))
+    bucket = slow_bucket(b"^the", 4)
+    share = np.exp(model.scores[bucket, model.languages.index("en")])
+    assert share > 0.5 / (1 << 16) * 10  # drawn at all, though all rows have one text
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.learn(rows.unionByName(spark.createDataFrame([(9999, "ein anderer satz", "de")], rows.schema)))
+
+
 def test_pieces():
     assert [w for w, _ in language_id.pieces("Don't/STOP_now")] == ["dont", "stop", "now"]
     assert language_id.pieces("漢字かな") == [("漢字", 0), ("かな", 2)]
