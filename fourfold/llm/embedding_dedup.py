@@ -150,12 +150,15 @@ def vectors_of(frame: DataFrame, vector: str, vec_id: str) -> tuple[DataFrame, s
 
     def checked(batches):
         for batch in batches:
-            out = []
-            for vec, i in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-                fit = bool(vec) and i is not None and None not in vec
-                x = np.array(vec if fit else [], kind)
-                out.append(x.tobytes() if fit and np.isfinite(x).all() and x.any() else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "data"])
+            ids, lists = batch.columns
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype(kind)  # null numbers are NaN
+            counted = lambda which: np.diff(np.concatenate([[0], np.cumsum(which)])[ends])
+            fit = lists.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+            fit &= (counted(~np.isfinite(values)) == 0) & (counted(values != 0) > 0)
+            size = np.dtype(kind).itemsize
+            buffers = [np.packbits(fit, bitorder="little"), (ends * size).astype(np.int32), values]
+            data = pa.Array.from_buffers(pa.binary(), len(fit), [pa.py_buffer(x.tobytes()) for x in buffers])
+            yield pa.RecordBatch.from_arrays([ids, data], names=["vec_id", "data"])
 
     cast = "array<float>" if kind == "<f4" else "array<double>"
     read = frame.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(cast).alias("vec"))

@@ -156,7 +156,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weight: Callable[[tuple[str,
 
     `levels` names each level of the tree with its column. Nulls of a level are a group of their own (\\N). Null and empty
     texts have 0 tokens and are taken if their place is before the cut. Rows that share an id in a leaf are taken together;
-    rows with a null id are all one such unit. A leaf's prefix ends before the row that would exceed its budget. An empty
+    rows with a null id are all one such unit. What rounding leaves goes to the heaviest child, of equal weights to the
+    first by name; rows of a leaf whose hashes are equal follow by id. A leaf's prefix ends before the row that would exceed its budget. An empty
     table gives an empty result. With `whole_rows` the result has the columns of `docs` alone, which may be called
     anything; a row stands there once for each epoch that takes it.
     """

@@ -80,3 +80,11 @@ def test_too_many_leaves(spark, monkeypatch):
     monkeypatch.setattr("fourfold.llm.mixing.MOST_LEAVES", 2)
     with pytest.raises(ValueError, match="more than 2 leaves"):
         mix(spark.createDataFrame(rows_of(), SCHEMA), levels(), lambda p: 1.0, WORD, 0.5)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "long words again " * 200_000, "en", "a"), (2, "short", "en", "a"), (3, "x" * 300_000, "de", "b"), (4, "short too", "de", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    taken = mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, lambda path: 1.0, WORD, share=1.0).collect()
+    tokens = {r["doc_id"]: r["n_tokens"] for r in taken}
+    assert tokens == {i: len(load(WORD).ids([text])[0]) for i, text, *_ in rows}

@@ -295,3 +295,10 @@ def test_entropy(spark):
     told = [-sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values()) if t else 0.0 for t in texts]
     assert [r[0] for r in found] == pytest.approx(told)
     assert urlsplit("http://a/b").netloc == "a"
+
+
+def test_very_long_urls(spark):
+    rows = [(1, "http://example.com/de/" + "a1-" * 100_000 + "?q=" + "z" * 50_000), (2, "http://" + "h" * 100_000 + ".org/fr/x"), (3, "x" * 200_000), (4, "http://b.net/")]
+    found = {r["page_id"]: r for r in judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert found[1]["rule"] == "example.com/de/" and found[2]["rule"] == "org/fr/" and (found[3]["host"], found[3]["path"]) == ("", "") and found[4]["verdict"] == "block"
+    assert len(found[1]["path"]) == 4 + 300_000 and len(found[2]["host"]) == 100_004

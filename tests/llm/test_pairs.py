@@ -317,3 +317,19 @@ def test_counted_windows():
     told = (np.abs(at[:, None] - at[None]) <= width).sum(axis=2) >= need
     found = np.unpackbits(embedding_dedup.colliding(unit, 0.95, 5e-4, 6), axis=1, bitorder="little", count=70).astype(bool)
     assert (found == told).mean() > 0.999
+
+
+def test_a_very_long_item_is_found(spark):
+    words = [f"w{(k * 7919) % 5003}" for k in range(3000)]
+    copy = [w if k % 9 else "other" for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(["so"] * 500 + copy + ["on"] * 500)), (2, " ".join(words[:900])), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()] == [(1, 7)]
+
+
+def test_vectors_that_link_with_nothing(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [1.0, None]), (7, [1.0, float("nan")]), (8, [float("inf"), 1.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (2, [0.0, 1.0])]
+    for kind in ("float", "double"):
+        found = near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").coalesce(1)).collect()
+        links = sorted((r["vec_id"] or 0, r["n_links"]) for r in found)
+        assert len(found) == len(rows) and [x for x in links if x[1]] == [(1, 1), (2, 1), (2, 1)]
