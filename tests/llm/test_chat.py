@@ -58,19 +58,23 @@ def test_digests(spark):
     assert digests(format_conversations(frame.limit(0), BYTES)).count() == 0
 
 
-def test_parts(spark, monkeypatch):
-    rows = [(4, k, "assistant" if k % 2 else "user", f"t{k}", "") for k in range(60)]
-    frame = spark.createDataFrame(rows, SCHEMA)
-    whole = [tuple(r) for r in digests(format_conversations(frame, BYTES)).collect()]
-    from fourfold.llm import chat_format
-
-    batches = frame.coalesce(1).select("conv_id", "role", "text").toArrow().to_batches()
-    monkeypatch.setattr(chat_format, "PART", 10)
-    held = []
-    monkeypatch.setattr(chat_format, "mapped", lambda frame, function, *_: held.append(function))
-    chat_format.format_conversations(frame, BYTES)
-    chat_format.digests(frame)
-    parts = list(held[0](batches))
-    assert len(parts) > 5
-    (row,) = [b.to_pylist()[0] for b in held[1](parts)]
-    assert tuple(row.values()) == whole[0]
+def test_parts(spark):
+    """A long conversation is formatted by many tasks, in small parts, and read back whole; so are null ids and equal turns."""
+    rows = [(4, k, "assistant" if k % 3 else "user", f"é{k} \\<|" * (k % 5), "") for k in range(300)]
+    rows += [(c, 0, "assistant", f"short {c}", "") for c in range(5, 40)]
+    rows += [(None, None, "assistant", f"{k % 7}" * 70 + str(k % 3), "") for k in range(90)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        formatted = format_conversations(frame, BYTES, most=10)
+        parts = [tuple(r) for r in formatted.select("conv_id", "part", "formatted").collect()]
+        hot = [(p, t) for c, p, t in parts if c == 4]
+        assert len({p >> 32 for p, _ in hot}) > 2
+        assert "".join(t for _, t in sorted(hot)) == rendered([(r[2], r[3]) for r in rows if r[0] == 4])[0]
+        for held in (1, 50, 1 << 20):
+            found = [tuple(r) for r in digests(formatted, most=held).collect()]
+            assert {r[0]: r[1:] for r in found} == told(rows) and len(found) == len(told(rows))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
