@@ -145,10 +145,15 @@ def chosen(rows: DataFrame, levels: list[str], plans: list[Plan], seed: int = 17
     return rows.join(frame, levels).withColumn("epoch", each).drop("whole", "cut_hash", "cut_key")
 
 
+def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What a row's place in its leaf depends on: its id, or its text where that is null."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.greatest(F.xxhash64(text_of(text)), F.lit(LOWEST + 1)))
+
+
 def keyed(docs: DataFrame, levels: dict[str, Column], doc_id: str = "doc_id") -> DataFrame:
     """`docs` with the columns key and those of the levels, none null."""
     named = {name: F.coalesce(c.cast("string"), F.lit(NONE)) for name, c in levels.items()}
-    return docs.withColumns({"key": F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST + 1)), **named})
+    return docs.withColumns({"key": key_of(doc_id), **named})
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], weight: Callable[[tuple[str, ...]], float], vocabulary: str, share: float, epochs: int = 1, seed: int = 17, whole_rows: bool = False) -> DataFrame:
@@ -156,7 +161,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], weight: Callable[[tuple[str,
 
     `levels` names each level of the tree with its column. Nulls of a level are a group of their own (\\N). Null and empty
     texts have 0 tokens and are taken if their place is before the cut. Rows that share an id in a leaf are taken together;
-    rows with a null id are all one such unit. What rounding leaves goes to the heaviest child, of equal weights to the
+    rows with a null id go by their text, equal texts together. What rounding leaves goes to the heaviest child, of equal weights to the
     first by name; rows of a leaf whose hashes are equal follow by id. A leaf's prefix ends before the row that would exceed its budget. An empty
     table gives an empty result. With `whole_rows` the result has the columns of `docs` alone, which may be called
     anything; a row stands there once for each epoch that takes it.
@@ -167,9 +172,8 @@ def mix(docs: DataFrame, levels: dict[str, Column], weight: Callable[[tuple[str,
     counted = checkpointed(token_table(plain, vocabulary, names))
     plans = mixture(counted, names, weight, share, epochs, seed)
     if whole_rows:
-        key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST + 1)).alias("key")
         leaf = (F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in own.items())
-        rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *leaf, key)
+        rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), *leaf, key_of().alias("key"))
         taken = chosen(rows, names, plans, seed)
         return taken.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
     taken = chosen(counted, names, plans, seed)

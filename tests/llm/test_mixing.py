@@ -88,3 +88,16 @@ def test_very_long_texts(spark):
     taken = mix(docs, {"lang": F.col("lang"), "source": F.col("source")}, lambda path: 1.0, WORD, share=1.0).collect()
     tokens = {r["doc_id"]: r["n_tokens"] for r in taken}
     assert tokens == {i: len(load(WORD).ids([text])[0]) for i, text, *_ in rows}
+
+
+def test_null_ids_are_cut_by_their_texts(spark):
+    """A leaf of null ids is cut like any other; equal texts go together, and whole rows are the same rows."""
+    rows = [(None, f"text {k % 90}", "en", "s", "k", 0, "x") for k in range(120)] + [(None, None, "en", "s", "k", 0, "x")]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = [r["text"] for r in mix(frame, levels(), lambda p: 1.0, WORD, 0.5, whole_rows=True).collect()]
+    n = dict(zip([r[1] for r in rows], load(WORD).lengths([r[1] or "" for r in rows])))
+    total = sum(n[r[1]] for r in rows)
+    assert 0.5 * total - 2 * max(n.values()) - 1 < sum(n[t] for t in found) <= 0.5 * total
+    every = [r[1] for r in rows]
+    assert all(found.count(t) == every.count(t) for t in set(found))
+    assert len(found) == mix(frame, levels(), lambda p: 1.0, WORD, 0.5).count()
