@@ -11,14 +11,17 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from itertools import chain
 
 import numpy as np
 
 #: Distinct runs that a worker remembers before it starts anew, at about 150 bytes each.
 REMEMBERED = 800_000
-#: Letters that normalization leaves composed and lower-cases one to one, then at most one full stop or comma.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)").fullmatch
+#: Letters that normalization leaves composed and lower-cases one to one.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: ASCII marks: what follows the letters of a run is one match of the split pattern if it has nothing else.
+MARKS = string.punctuation
 
 
 def public_path(name: str) -> str:
@@ -67,16 +70,22 @@ class RunEncoder:
         fresh, self.runs.fresh = self.runs.fresh, []
         if not fresh:
             return
-        marks = {"": [], ".": self.of_word("."), ",": self.of_word(",")}
-        words, odd, ids = {"": []}, [], [None] * len(fresh)
+        marks, words, odd, ids = {}, {}, [], [None] * len(fresh)
+        learned, number = len(self.size), self.runs.get
         for k, run in enumerate(fresh):
-            if plain := PLAIN(run):
-                word, mark = plain.groups()
-                word = word.lower()
+            shown = run.rstrip(MARKS)
+            if shown.isalpha() and (shown.isascii() or PLAIN(shown)):
+                word = shown.lower()
                 found = words.get(word)
                 if found is None:
-                    found = words[word] = self.of_word(word)
-                ids[k] = found + marks[mark] if mark else found
+                    n = number(word, learned)
+                    found = words[word] = self.flat[self.start[n] : self.start[n + 1]].tolist() if n < learned else self.of_word(word)
+                if len(shown) < len(run):
+                    mark = run[len(shown) :]
+                    if mark not in marks:
+                        marks[mark] = self.of_word(mark)
+                    found = found + marks[mark]
+                ids[k] = found
             elif run:
                 odd.append(k)
             else:
@@ -111,12 +120,16 @@ class RunEncoder:
         return [int(self.size[n].sum()) for n in self.numbers(texts)]
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for n in self.numbers(texts):
-            sizes = self.size[n]
-            before = np.cumsum(sizes) - sizes
-            out.append(self.flat[np.repeat(self.start[n] - before, sizes) + np.arange(int(sizes.sum()))])
-        return out
+        if not texts:
+            return []
+        numbers = self.numbers(texts)
+        runs = np.concatenate(numbers)
+        sizes = self.size[runs]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(self.start[runs] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        last = np.cumsum([len(n) for n in numbers]) - 1  # a text has one run at least
+        return np.split(self.flat[at], ends[last[:-1]])
 
 
 class WholeEncoder:

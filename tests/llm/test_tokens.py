@@ -32,12 +32,22 @@ def library():
 
 def test_runs_give_the_librarys_ids(library):
     rng = random.Random(0)
-    letters = "aB.,'é́ \n\t\x1c\xa0sTdl<|>1²ªßÀ漢Σ!"
+    letters = "aB.,'é́ \n\t\x1c\xa0sTdl<|>1²ªßÀ漢Σ!$#-_"
     texts = HARD + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     encoder = load(WORD)
     assert isinstance(encoder, RunEncoder)
     assert [x.tolist() for x in encoder.ids(texts)] == library(texts)
     assert encoder.lengths(texts) == [len(x) for x in library(texts)]
+    assert encoder.ids([]) == []
+
+
+def test_runs_known_from_before_and_marks(library):
+    """A word that was learned as a run of its own serves runs with capitals and marks; marks stand for themselves."""
+    texts = ["word été", "Word, WORD!! word$$$ word-- Été... été's été' l'été", "###!! ' 's word'", "word<|endoftext|>, x<| |>x"]
+    for order in (texts, texts[::-1]):
+        encoder = load(WORD)
+        for text in order:
+            assert encoder.ids([text])[0].tolist() == library([text])[0]
 
 
 def test_runs_survive_forgetting(library, monkeypatch):
